@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfsight.model import STAGING_COLUMNS
+from shelfsight.workspace import written
 
 CORRUPT = "_corrupt_record"
 
@@ -28,7 +29,11 @@ def _renamed() -> list:
 
 
 def load_staging(spark: SparkSession, path: str) -> DataFrame:
-    """Typed staging table from CSV with header; one value of the wrong type ends the load."""
+    """Typed staging table from CSV with header; one value of the wrong type ends the load.
+
+    Spark parses the columns a query selects; persist_star_schema selects them all, so
+    no bad value gets past the load.
+    """
     return (
         spark.read.schema(_file_schema(spark, path))
         .option("header", True)
@@ -40,7 +45,7 @@ def load_staging(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_staging_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Well-typed rows, and the source lines of the others."""
+    """Well-typed rows, and the source lines of the others. The file is parsed once."""
     schema = _file_schema(spark, path).add(CORRUPT, T.StringType())
     parsed = (
         spark.read.schema(schema)
@@ -50,8 +55,9 @@ def load_staging_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame
         .csv(path)
         .select(*_renamed(), CORRUPT)
     )
-    good = parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = parsed.filter(F.col(CORRUPT).isNotNull())
+    kept = written(parsed, "parsed")
+    good = kept.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    bad = kept.filter(F.col(CORRUPT).isNotNull())
     return good, bad
 
 
