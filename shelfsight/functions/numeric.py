@@ -6,6 +6,8 @@ depend on the order in which partitions are merged.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,19 @@ def round_to(value: Column, digits: int) -> Column:
     return F.round(value * scale, 0) / scale
 
 
+def cents(amount: str) -> Column:
+    """A column of two decimals as whole hundredths: exact, and far cheaper to add up than
+    decimals wider than a machine word."""
+    return (F.col(amount) * 100).cast("bigint")
+
+
+def from_cents(total: Column | str) -> Column:
+    """A sum of hundredths as a decimal again."""
+    return (F.col(total) if isinstance(total, str) else total).cast("decimal(20,0)") * F.lit(
+        Decimal("0.01")
+    )
+
+
 def ratio(numerator: Column | str, denominator: Column | str) -> Column:
     """Floating division that gives NULL for a zero denominator."""
     return as_double(numerator) / F.nullif(as_double(denominator), F.lit(0.0))

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from shelfsight import params as P
 from shelfsight.functions.calendar import month_label
-from shelfsight.functions.numeric import as_double, mean_of, percent, ratio, round_to
+from shelfsight.functions.numeric import (
+    as_double,
+    cents,
+    from_cents,
+    mean_of,
+    percent,
+    ratio,
+    round_to,
+)
 from shelfsight.model import Tables
 from shelfsight.operators.production import POLICY, revenue_shares, window_kpis
 from shelfsight.params import ReorderPolicy
@@ -15,7 +23,7 @@ from shelfsight.plans.cores import (
     advice,
     category_totals,
     pair_history,
-    revenue,
+    revenue_cents,
     with_reorder_levels,
 )
 from shelfsight.plans.ranking import class_by
@@ -24,7 +32,7 @@ from shelfsight.plans.ranking import class_by
 def kpi_cards(tables: Tables, window: int = 90) -> DataFrame:
     return window_kpis(tables, window).select(
         F.col("units").alias("units_sold"),
-        as_double("revenue").alias("revenue"),
+        "revenue",
         F.col("stock").alias("avg_stock"),
         percent("stockouts", "fact_rows").alias("stockout_pct"),
         ratio("units", "stock").alias("turnover"),
@@ -47,14 +55,14 @@ def daily_trend(tables: Tables, short: int = 7, long: int = 30) -> DataFrame:
         tables.fact.groupBy("txn_date")
         .agg(
             F.sum("units_sold").alias("units_sold"),
-            F.sum("demand_forecast").alias("planned"),
+            F.sum(cents("demand_forecast")).alias("planned"),
             F.sum("inventory_level").alias("stock_sum"),
             F.count("inventory_level").alias("stock_n"),
         )
         .select(
             "txn_date",
             "units_sold",
-            as_double("planned").alias("forecast"),
+            as_double(from_cents("planned")).alias("forecast"),
             mean_of("stock").alias("avg_inv"),
         )
     )
@@ -85,20 +93,22 @@ def top_products(tables: Tables, n: int = 15) -> DataFrame:
 
 
 def category_sales(tables: Tables) -> DataFrame:
-    totals = category_totals(tables, [], {"exact": revenue(), "units": F.sum("units_sold")})
-    return totals.select("category", as_double("exact").alias("revenue"), "units").orderBy(
-        F.desc_nulls_last("revenue"), "category"
+    totals = category_totals(
+        tables, [], {"earned": revenue_cents(), "units": F.sum("units_sold")}
     )
+    return totals.select(
+        "category", as_double(from_cents("earned")).alias("revenue"), "units"
+    ).orderBy(F.desc_nulls_last("revenue"), "category")
 
 
 def revenue_mix(tables: Tables) -> DataFrame:
     """Category share of revenue in percent."""
-    sales = category_totals(tables, [], {"exact": revenue()})
-    total = sales.agg(F.sum("exact")).scalar()
+    sales = category_totals(tables, [], {"earned": revenue_cents()})
+    total = sales.agg(F.sum("earned")).scalar()
     return sales.select(
         "category",
-        as_double("exact").alias("revenue"),
-        round_to(percent("exact", total), 1).alias("share_pct"),
+        as_double(from_cents("earned")).alias("revenue"),
+        round_to(percent(from_cents("earned"), from_cents(total)), 1).alias("share_pct"),
     ).orderBy(F.desc_nulls_last("revenue"), "category")
 
 
@@ -198,9 +208,14 @@ def forecast_vs_actual(tables: Tables) -> DataFrame:
     """Daily sales and forecast with the relative error, NULL on a day without sales."""
     daily = (
         tables.fact.groupBy("txn_date")
-        .agg(F.sum("units_sold").alias("units"), F.sum("demand_forecast").alias("planned"))
+        .agg(
+            F.sum("units_sold").alias("units"),
+            F.sum(cents("demand_forecast")).alias("planned"),
+        )
         .select(
-            "txn_date", as_double("units").alias("sold"), as_double("planned").alias("forecast")
+            "txn_date",
+            as_double("units").alias("sold"),
+            as_double(from_cents("planned")).alias("forecast"),
         )
     )
     error = percent(F.col("forecast") - F.col("sold"), "sold")
@@ -259,14 +274,14 @@ def store_performance(tables: Tables) -> DataFrame:
         tables.fact.groupBy("store_id")
         .agg(
             F.sum("units_sold").alias("units"),
-            revenue().alias("exact"),
+            revenue_cents().alias("earned"),
             F.sum("inventory_level").alias("stock_sum"),
             F.count("inventory_level").alias("stock_n"),
         )
         .select(
             "store_id",
             "units",
-            as_double("exact").alias("revenue"),
+            as_double(from_cents("earned")).alias("revenue"),
             mean_of("stock").alias("avg_inv"),
         )
         .orderBy("store_id")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight import params as P
-from shelfsight.functions.numeric import as_double, mean_of, ratio, round_to
+from shelfsight.functions.numeric import as_double, cents, from_cents, mean_of, ratio, round_to
 from shelfsight.model import Tables
 from shelfsight.plans.ranking import class_by, percent_rank, with_descending_order
 
@@ -235,14 +235,17 @@ def seasonality(tables: Tables) -> DataFrame:
         tables.staging.groupBy("seasonality", "holiday_promotion")
         .agg(
             *_sum_and_count("units_sold", "sold"),
-            *_sum_and_count("demand_forecast", "forecast"),
+            F.sum(cents("demand_forecast")).alias("planned"),
+            F.count("demand_forecast").alias("forecast_n"),
         )
+        .withColumn("sold", mean_of("sold"))
+        .withColumn("forecast", ratio(from_cents("planned"), "forecast_n"))
         .select(
             F.col("seasonality").alias("Seasonality"),
             F.col("holiday_promotion").alias("Holiday/Promotion"),
-            round_to(mean_of("sold"), 2).alias("Avg_Units_Sold"),
-            round_to(mean_of("forecast"), 2).alias("Avg_Forecasted_Demand"),
-            round_to(mean_of("sold") - mean_of("forecast"), 2).alias("Forecast_Error"),
+            round_to(F.col("sold"), 2).alias("Avg_Units_Sold"),
+            round_to(F.col("forecast"), 2).alias("Avg_Forecasted_Demand"),
+            round_to(F.col("sold") - F.col("forecast"), 2).alias("Forecast_Error"),
         )
         .orderBy(F.desc_nulls_last("Avg_Units_Sold"), "Seasonality", "Holiday/Promotion")
     )

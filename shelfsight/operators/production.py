@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shelfsight import params as P
 from shelfsight.functions.numeric import (
     as_double,
+    cents,
+    from_cents,
     mean_of,
     moments,
     percent,
@@ -23,7 +25,7 @@ from shelfsight.plans.cores import (
     pair_history,
     pair_stats,
     product_revenue,
-    revenue,
+    revenue_cents,
     trailing,
     with_reorder_levels,
 )
@@ -136,7 +138,7 @@ def window_kpis(tables: Tables, window: int) -> DataFrame:
     parts = {
         "fact_rows": F.count(F.lit(1)),
         "units": F.sum("units_sold"),
-        "revenue": revenue(),
+        "earned": revenue_cents(),
         "stock_sum": F.sum("inventory_level"),
         "stock_n": F.count("inventory_level"),
         "stockouts": _count_where(F.col("inventory_level") == 0),
@@ -153,7 +155,9 @@ def window_kpis(tables: Tables, window: int) -> DataFrame:
     return by_day.agg(
         F.count("txn_date").alias("days_in_window"),
         *[F.sum(name).alias(name) for name in parts],
-    ).withColumn("stock", ratio("stock_sum", "stock_n"))
+    ).withColumns(
+        {"stock": ratio("stock_sum", "stock_n"), "revenue": as_double(from_cents("earned"))}
+    )
 
 
 def kpi_summary(tables: Tables, window: int = 90) -> DataFrame:
@@ -162,7 +166,7 @@ def kpi_summary(tables: Tables, window: int = 90) -> DataFrame:
         "days_in_window",
         F.coalesce("fact_rows", F.lit(0)).alias("fact_rows"),
         F.col("units").alias("total_units_sold"),
-        round_to(as_double("revenue"), 0).alias("gross_revenue"),
+        round_to(F.col("revenue"), 0).alias("gross_revenue"),
         round_to(F.col("stock"), 1).alias("avg_stock_level"),
         round_to(percent("stockouts", "fact_rows"), 2).alias("stockout_rate_pct"),
         round_to(percent("zero_sales", "fact_rows"), 2).alias("zero_sale_rate_pct"),
@@ -224,13 +228,13 @@ def stock_adjustments(tables: Tables, policy: ReorderPolicy = POLICY) -> DataFra
 def supplier_performance(tables: Tables) -> DataFrame:
     """Ordering behaviour per product, as a stand-in for the missing supplier data."""
     filled = ratio("units_sold", "units_ordered")
-    off_forecast = F.abs(F.col("units_ordered") - F.col("demand_forecast"))
+    off_forecast = F.abs(F.col("units_ordered").cast("bigint") * 100 - cents("demand_forecast"))
     per_product = tables.fact.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("observation_days"),
         *moments("units_ordered", "ordered"),
         F.sum("units_sold").alias("sold_sum"),
         F.count("units_sold").alias("sold_n"),
-        F.sum("demand_forecast").alias("forecast_sum"),
+        F.sum(cents("demand_forecast")).alias("forecast_sum"),
         F.count("demand_forecast").alias("forecast_n"),
         F.sum(filled).alias("filled_sum"),
         F.count(filled).alias("filled_n"),
@@ -245,10 +249,10 @@ def supplier_performance(tables: Tables) -> DataFrame:
             "observation_days",
             round_to(mean_of("ordered"), 1).alias("avg_units_ordered"),
             round_to(mean_of("sold"), 1).alias("avg_units_sold"),
-            round_to(mean_of("forecast"), 1).alias("avg_forecast"),
+            round_to(ratio(from_cents("forecast_sum"), "forecast_n"), 1).alias("avg_forecast"),
             round_to(mean_of("filled"), 3).alias("fill_rate_proxy"),
             round_to(sample_sd_of("ordered"), 1).alias("order_variability"),
-            round_to(mean_of("off"), 1).alias("order_vs_forecast_mae"),
+            round_to(ratio(from_cents("off_sum"), "off_n"), 1).alias("order_vs_forecast_mae"),
         )
         .orderBy(F.desc_nulls_last("fill_rate_proxy"), "product_id", "category")
     )
@@ -265,7 +269,10 @@ def demand_forecast(
     daily = (
         trailing(tables, window)
         .groupBy("product_id", "txn_date")
-        .agg(F.sum("units_sold").alias("units_sold"), F.sum("demand_forecast").alias("planned"))
+        .agg(
+            F.sum("units_sold").alias("units_sold"),
+            F.sum(cents("demand_forecast")).alias("planned"),
+        )
     )
     days = Window.partitionBy("product_id").orderBy("txn_date")
 
@@ -277,7 +284,7 @@ def demand_forecast(
         "product_id",
         "txn_date",
         "units_sold",
-        as_double("planned").alias("forecast"),
+        as_double(from_cents("planned")).alias("forecast"),
         round_to(moving_mean(short), 1).alias("ma_7d"),
         round_to(moving_mean(long), 1).alias("ma_30d"),
         round_to(percent(F.col("units_sold") - earlier, earlier), 1).alias("wow_growth_pct"),

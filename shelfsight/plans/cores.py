@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.functions.numeric import mean_of, moments, sample_sd_of
+from shelfsight.functions.numeric import cents, from_cents, mean_of, moments, sample_sd_of
 from shelfsight.model import PARTITION, Tables
 from shelfsight.params import ReorderPolicy
 
@@ -77,9 +77,9 @@ def advice(on_hand: str, low: str, high: str, below: Column, above: Column, with
     )
 
 
-def revenue() -> Column:
-    """Gross revenue at the row's own price, an exact decimal."""
-    return F.sum(F.col("units_sold") * F.col("price"))
+def revenue_cents() -> Column:
+    """Sum of units at the row's own price, in hundredths."""
+    return F.sum(F.col("units_sold").cast("bigint") * cents("price"))
 
 
 def product_revenue(tables: Tables) -> DataFrame:
@@ -89,10 +89,10 @@ def product_revenue(tables: Tables) -> DataFrame:
     join's size is that of the product list.
     """
     totals = tables.fact.groupBy("product_id").agg(
-        F.sum("units_sold").alias("units_sold"), revenue().alias("revenue")
+        F.sum("units_sold").alias("units_sold"), revenue_cents().alias("earned")
     )
     return totals.join(tables.dim_product, "product_id").select(
-        "product_id", "category", "units_sold", "revenue"
+        "product_id", "category", "units_sold", from_cents("earned").alias("revenue")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -33,22 +35,30 @@ def persist_star_schema(staging: DataFrame, folder: str) -> Tables:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return _read(spark, folder, name)
 
+    def put_fact() -> None:
+        clustered = [PARTITION, "product_id", "store_id", "txn_date"]
+        (
+            loading.build_fact(staged, regions)
+            .repartitionByRange(partitions_for(spark, f"{folder}/staging_inventory"), *clustered)
+            .sortWithinPartitions(*clustered)
+            .write.mode("overwrite")
+            .partitionBy(PARTITION)
+            .parquet(f"{folder}/fact_inventory_daily")
+        )
+
     staged = put(staging, "staging_inventory")
-    put(loading.build_dim_date(staged), "dim_date")
-    put(loading.build_dim_product(staged), "dim_product")
-    put(loading.build_dim_store(staged), "dim_store")
     regions = put(loading.build_dim_region(staged), "dim_region")
-    put(loading.first_seen_products(staged), "products")
-
-    clustered = [PARTITION, "product_id", "store_id", "txn_date"]
-    (
-        loading.build_fact(staged, regions)
-        .repartitionByRange(partitions_for(spark, f"{folder}/staging_inventory"), *clustered)
-        .sortWithinPartitions(*clustered)
-        .write.mode("overwrite")
-        .partitionBy(PARTITION)
-        .parquet(f"{folder}/fact_inventory_daily")
-    )
+    jobs = [
+        put_fact,
+        lambda: put(loading.build_dim_date(staged), "dim_date"),
+        lambda: put(loading.build_dim_product(staged), "dim_product"),
+        lambda: put(loading.build_dim_store(staged), "dim_store"),
+        lambda: put(loading.first_seen_products(staged), "products"),
+    ]
+    # Independent of each other: the small jobs run beside the fact's.
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for job in [pool.submit(job) for job in jobs]:
+            job.result()
     return open_star_schema(spark, folder)
 
 

@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-LARGE_PARTITION_BYTES = 256 * 1024 * 1024
+LARGE_PARTITION_BYTES = 1024 * 1024 * 1024
 SMALL_PARTITION_BYTES = 1024 * 1024
 
 
