@@ -80,7 +80,7 @@ def abc(tables: Tables, a: float = 70, b: float = 90) -> DataFrame:
         "product_id",
         "category",
         "units_sold",
-        as_double("revenue").alias("revenue"),
+        "revenue",
         F.col("share").alias("pct"),
         F.col("cumulative_share").alias("cum_pct"),
         class_by(F.col("cumulative_share"), (a, b), P.SHARE_CLASSES).alias("abc"),

@@ -280,19 +280,17 @@ def abc_percentile(tables: Tables, a: float = 0.20, b: float = 0.50) -> DataFram
     the first-seen price. The price is constant per product and applied to its units."""
     units = _per_product(tables, F.sum("units_sold").alias("sold"))
     valued = units.join(tables.products, "product_id").select(
-        "product_id", "category", (F.col("sold") * F.col("price")).alias("revenue")
-    )
-    ordered = with_descending_order(
-        valued, "revenue", "product_id", at_most=tables.product_rows
+        "product_id", "category", (F.col("sold") * cents("price")).alias("earned")
     )
+    ordered = with_descending_order(valued, "earned", "product_id", at_most=tables.product_rows)
     label = class_by(percent_rank(), (a, b), P.RANK_CLASS_NAMES)
     return (
         ordered.groupBy(_category(), label.alias("ABC_Classification"))
-        .agg(F.sum("revenue").alias("revenue"))
+        .agg(F.sum("earned").alias("earned"))
         .select(
             "Category",
             "ABC_Classification",
-            round_to(as_double("revenue"), 2).alias("Total_Category_Revenue"),
+            round_to(as_double(from_cents("earned")), 2).alias("Total_Category_Revenue"),
         )
         .orderBy("Category", "ABC_Classification")
     )

@@ -179,16 +179,17 @@ def kpi_summary(tables: Tables, window: int = 90) -> DataFrame:
 def revenue_shares(tables: Tables) -> DataFrame:
     """Product revenue with rank, share and cumulative share in percent, unrounded."""
     ordered = with_descending_order(
-        product_revenue(tables), "revenue", "product_id", at_most=tables.product_rows
+        product_revenue(tables), "earned", "product_id", at_most=tables.product_rows
     )
+    total = from_cents("total")
     return ordered.select(
         "product_id",
         "category",
         "units_sold",
-        "revenue",
+        as_double(from_cents("earned")).alias("revenue"),
         "rank",
-        percent("revenue", "total").alias("share"),
-        percent("running", "total").alias("cumulative_share"),
+        percent(from_cents("earned"), total).alias("share"),
+        percent(from_cents("running"), total).alias("cumulative_share"),
     )
 
 
@@ -200,7 +201,7 @@ def abc_analysis(tables: Tables, a: float = 70, b: float = 90) -> DataFrame:
         "product_id",
         "category",
         "units_sold",
-        as_double("revenue").alias("revenue"),
+        "revenue",
         round_to(F.col("share"), 2).alias("pct_of_revenue"),
         round_to(F.col("cumulative_share"), 2).alias("cumulative_pct"),
         class_by(F.col("cumulative_share"), (a, b), P.SHARE_CLASS_NAMES).alias("abc_class"),

@@ -49,7 +49,7 @@ def critical_class_a(tables: Tables, days: float = 1.5) -> DataFrame:
         .select(
             "product_id",
             "category",
-            F.col("revenue").cast("double").alias("revenue"),
+            "revenue",
             round_to(F.col("supply"), 2).alias("days_of_supply"),
         )
         .orderBy("days_of_supply", "product_id")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.functions.numeric import cents, from_cents, mean_of, moments, sample_sd_of
+from shelfsight.functions.numeric import cents, mean_of, moments, sample_sd_of
 from shelfsight.model import PARTITION, Tables
 from shelfsight.params import ReorderPolicy
 
@@ -83,7 +83,7 @@ def revenue_cents() -> Column:
 
 
 def product_revenue(tables: Tables) -> DataFrame:
-    """Units and revenue per product and category.
+    """Units and revenue, in hundredths, per product and category.
 
     The fact is reduced to one row per product before the category is joined on, so the
     join's size is that of the product list.
@@ -92,7 +92,7 @@ def product_revenue(tables: Tables) -> DataFrame:
         F.sum("units_sold").alias("units_sold"), revenue_cents().alias("earned")
     )
     return totals.join(tables.dim_product, "product_id").select(
-        "product_id", "category", "units_sold", from_cents("earned").alias("revenue")
+        "product_id", "category", "units_sold", "earned"
     )
 
 

@@ -15,7 +15,7 @@ from shelfsight.workspace import written
 ONE_TASK_ROWS = 100_000
 
 # Stands for NULL in the sort key; below any sum of money.
-_LOWEST = "-1e35"
+_LOWEST = -(2**63)
 
 
 def with_descending_order(df: DataFrame, value: str, tie: str, at_most: int | None) -> DataFrame:
@@ -25,8 +25,8 @@ def with_descending_order(df: DataFrame, value: str, tie: str, at_most: int | No
     ``running``: sum of ``value`` up to and including the row, equal values by ``tie``;
     ``total`` and ``row_total``: sum of ``value`` and number of rows over all.
 
-    ``value`` is a decimal and (value, tie) unique. ``at_most`` is a known upper bound of
-    the row count, or None.
+    ``value`` is a bigint, money in hundredths, and (value, tie) unique. ``at_most`` is a
+    known upper bound of the row count, or None.
     """
     if at_most is not None and at_most <= ONE_TASK_ROWS:
         return _in_one_task(df, value, tie)
@@ -41,7 +41,7 @@ def _in_one_task(df: DataFrame, value: str, tie: str) -> DataFrame:
     everything = Window.partitionBy()
     return df.select(
         "*",
-        F.rank().over(by_value).alias("rank"),
+        F.rank().over(by_value).cast("bigint").alias("rank"),
         F.sum(value).over(row_by_row).alias("running"),
         F.sum(value).over(everything).alias("total"),
         F.count(F.lit(1)).over(everything).alias("row_total"),
@@ -54,7 +54,7 @@ def _by_range(df: DataFrame, value: str, tie: str) -> DataFrame:
     The ranges follow (value, tie), so even rows that all share one value spread over
     many. The range number is a partition id and is fixed by writing the table.
     """
-    keyed = df.withColumn("sort_key", F.coalesce(F.col(value), F.lit(_LOWEST).cast("decimal(38,2)")))
+    keyed = df.withColumn("sort_key", F.coalesce(F.col(value), F.lit(_LOWEST)))
     ranged = written(
         keyed.repartitionByRange(F.desc("sort_key"), F.col(tie)).withColumn(
             "range_id", F.spark_partition_id()

@@ -56,9 +56,10 @@ def staging_from_orderlines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("product_id"),
         F.col("r_name").alias("region"),
     ).agg(
-        F.sum((7 * order + 13 * part) % STOCK_LEVELS).alias("stock"),
-        F.sum(F.when(F.col("l_returnflag") != "R", quantity).otherwise(0.0)).alias("sold"),
-        F.sum(F.when(F.col("l_linestatus") == "O", quantity).otherwise(0.0)).alias("ordered"),
+        F.sum(order % STOCK_LEVELS).alias("orders_left"),
+        F.sum(part % STOCK_LEVELS).alias("parts_left"),
+        F.sum(F.when(F.col("l_returnflag") != "R", quantity)).alias("sold"),
+        F.sum(F.when(F.col("l_linestatus") == "O", quantity)).alias("ordered"),
         F.sum(quantity).alias("quantity"),
         F.sum(order % 7).alias("by_seven"),
         F.sum(order % 4).alias("by_four"),
@@ -78,9 +79,9 @@ def staging_from_orderlines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "product_id": F.col("product_id"),
         "category": F.concat(F.lit("CAT_"), (brand_number % CATEGORIES).cast("string")),
         "region": F.col("region"),
-        "inventory_level": F.col("stock") % STOCK_LEVELS,
-        "units_sold": F.col("sold"),
-        "units_ordered": F.col("ordered"),
+        "inventory_level": (7 * F.col("orders_left") + 13 * F.col("parts_left")) % STOCK_LEVELS,
+        "units_sold": F.coalesce("sold", F.lit(0.0)),
+        "units_ordered": F.coalesce("ordered", F.lit(0.0)),
         "demand_forecast": forecast,
         "price": F.col("highest"),
         "discount": F.round(F.col("discount_rate") * 100),
