@@ -5,11 +5,13 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfsight.functions.calendar import month_key
 from shelfsight.model import PARTITION, SCHEMAS, Tables
 from shelfsight.operators import loading
-from shelfsight.workspace import partitions_for
+from shelfsight.workspace import new_folder, partitions_for
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,33 +25,31 @@ def persist_star_schema(staging: DataFrame, folder: str) -> Tables:
     """Write staging, dimensions, fact and product list below ``folder``, replacing what
     is there, and return the tables as read back.
 
-    Staging is parsed once and written; the rest reads it column by column. The fact is
-    range-partitioned by month, product, store and date: each task then writes few
-    files, a heavy month or product spreads over several tasks, and the days of a
-    (store, product) pair lie together, so later per-pair aggregations shrink a month of
-    rows to one before they shuffle.
+    The source is parsed once and parked in the shared folder. From there the staging
+    table is range-partitioned by month, product, store and date: a heavy month or product
+    spreads over several tasks, and the days of a product and of a (store, product) pair
+    lie together, so later aggregations shrink a month of rows before they shuffle. The
+    fact follows that order row by row and needs no shuffle of its own.
     """
     spark = staging.sparkSession
 
-    def put(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    def put(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/{name}")
         return _read(spark, folder, name)
 
-    def put_fact() -> None:
-        clustered = [PARTITION, "product_id", "store_id", "txn_date"]
-        (
-            loading.build_fact(staged, regions)
-            .repartitionByRange(partitions_for(spark, f"{folder}/staging_inventory"), *clustered)
-            .sortWithinPartitions(*clustered)
-            .write.mode("overwrite")
-            .partitionBy(PARTITION)
-            .parquet(f"{folder}/fact_inventory_daily")
-        )
-
-    staged = put(staging, "staging_inventory")
+    parked = new_folder(spark, "parsed")
+    staging.write.parquet(parked)
+    order = [month_key(F.col("txn_date")), "product_id", "store_id", "txn_date"]
+    staged = put(
+        spark.read.schema(staging.schema)
+        .parquet(parked)
+        .repartitionByRange(partitions_for(spark, parked), *order)
+        .sortWithinPartitions(*order),
+        "staging_inventory",
+    )
     regions = put(loading.build_dim_region(staged), "dim_region")
     jobs = [
-        put_fact,
+        lambda: put(loading.build_fact(staged, regions), "fact_inventory_daily", PARTITION),
         lambda: put(loading.build_dim_date(staged), "dim_date"),
         lambda: put(loading.build_dim_product(staged), "dim_product"),
         lambda: put(loading.build_dim_store(staged), "dim_store"),
