@@ -196,11 +196,42 @@ def histogram(tables: Tables, bins: int = 40) -> DataFrame:
 
 
 def mean_median(tables: Tables) -> DataFrame:
-    """Mean and exact interpolated median of the stock level, from counts per level."""
-    n = F.col("n")
-    return _level_counts(tables).agg(
-        ratio(F.sum(F.col("level") * n), F.sum(n)).alias("mean"),
-        F.percentile("level", F.lit(0.5), n).alias("median"),
+    """Mean and exact interpolated median of the stock level, from counts per level.
+
+    The block of 65,536 levels that holds the middle is found first, then the level in
+    it. Levels are 32-bit integers, so neither ordered step sees more rows than that per
+    block or in blocks, however many rows and levels there are.
+    """
+    levels = _level_counts(tables).withColumn("block", F.shiftright("level", 16))
+    blocks = levels.groupBy("block").agg(
+        F.sum("n").alias("rows"), F.sum(F.col("level") * F.col("n")).alias("units")
+    )
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    placed = blocks.select(
+        "block",
+        "rows",
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
+        F.sum("rows").over(everything).alias("row_total"),
+        F.sum("units").over(everything).alias("unit_total"),
+    )
+    # Positions of the middle row, or of the middle two.
+    lower = F.ceil(F.col("row_total") / 2)
+    upper = F.floor(F.col("row_total") / 2) + 1
+    middle = placed.filter(
+        (F.col("rows_before") < upper) & (F.col("rows_before") + F.col("rows") >= lower)
+    )
+    up_to = Window.partitionBy("block").orderBy("level").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    reached = levels.join(middle, "block").withColumn(
+        "reached", F.col("rows_before") + F.sum("n").over(up_to)
+    )
+    first = F.min(F.when(F.col("reached") >= lower, F.col("level")))
+    second = F.min(F.when(F.col("reached") >= upper, F.col("level")))
+    return reached.agg(
+        F.max(ratio("unit_total", "row_total")).alias("mean"),
+        ((as_double(first) + as_double(second)) / 2).alias("median"),
     )
 
 

@@ -30,12 +30,18 @@ def test_histogram_against_numpy(star, values):
     assert got[-1]["upper"] == pytest.approx(edges[-1])
 
 
-@pytest.mark.parametrize("values", [[1], [1, 2], [5, 1, 1, 9], list(range(101)), [3] * 40 + [4] * 41])
+@pytest.mark.parametrize("values", [[1], [1, 2], [5, 1, 1, 9], list(range(101)), [3] * 40 + [4] * 41,
+                                    [-70_000, -3, 65_535, 65_536, 200_000, 2**31 - 1], [65_535] * 5 + [65_536] * 5,
+                                    [0, 0, 10**6, 10**6, 10**6]])
 def test_mean_and_median(star, values):
     row = D.mean_median(levels(star, values)).first()
     assert (row["mean"], row["median"]) == (pytest.approx(np.mean(values)), np.median(values))
 
 
+def test_mean_and_median_of_nothing(star):
+    assert tuple(D.mean_median(star([{"region": None}])).first()) == (None, None)
+
+
 def test_rolling_means_against_pandas(star):
     rng = random.Random(5)
     days = sorted(rng.sample(range(200), 80))

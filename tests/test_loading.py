@@ -103,6 +103,17 @@ def test_persist_is_repeatable_and_equal(spark, star, staging, tmp_path):
     assert stored.table("fact_inventory_daily").columns == FACT_COLUMNS
 
 
+def test_stored_layout_keeps_pairs_together(spark, staging, tmp_path):
+    folder = f"file://{tmp_path}/star"
+    stored = persist_star_schema(staging(ROWS), folder)
+    for name in ("staging_inventory", "fact_inventory_daily"):
+        for path in stored.table(name).inputFiles():
+            rows = spark.read.parquet(path).select("txn_date", "product_id", "store_id").collect()
+            keys = [(r.txn_date.month, r.product_id, r.store_id, r.txn_date) for r in rows]
+            assert keys == sorted(keys), path
+            assert name == "staging_inventory" or len({k[0] for k in keys}) == 1
+
+
 # --- CSV ------------------------------------------------------------------------
 
 
