@@ -23,7 +23,6 @@ def local_session(cores: int | str = "*", app: str = "shelfsight") -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shelfsight-"))
         .getOrCreate()
     )
 

@@ -37,9 +37,33 @@ def test_prepared_pairs_change_nothing(spark, star, tmp_path):
 
 
 def test_shared_folder_is_the_named_one(spark):
-    named = spark.conf.get("spark.checkpoint.dir")
-    assert shared_folder(spark) == named
-    assert new_folder(spark, "x").startswith(named) and new_folder(spark, "x") != new_folder(spark, "x")
+    folder = shared_folder(spark)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert folder == named if named else folder.startswith("file:")
+    assert new_folder(spark, "x").startswith(folder) and new_folder(spark, "x") != new_folder(spark, "x")
+
+
+def test_unnamed_shared_folder_of_a_local_session():
+    class Context:
+        master = "local[2]"
+        chosen = None
+
+        def getCheckpointDir(self):
+            return self.chosen
+
+        def setCheckpointDir(self, folder):
+            self.chosen = folder
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    folder = shared_folder(Session())
+    assert folder.startswith("file:///") and shared_folder(Session()) == folder
 
 
 def test_unnamed_shared_folder_is_refused_on_a_cluster():
