@@ -5,8 +5,10 @@ that it leaves in a slot is (level, random fraction), so the levels of one eleme
 signature has less variance than with independent hashes. A text stops at the first level above all values
 in its signature. Bands of slots propose pairs, whose whole shingle sets are then compared.
 
-In a bucket of a band every member is compared with one centre, and after grouping only members of different
-groups with each other, so a bucket of copies costs as much as it has members.
+In a bucket of a band every member is compared with one centre, the member that shares most buckets. Where a
+bucket then still holds several groups, their texts go through an exact prefix filter: shingles ordered by
+rarity, the necessary first ones joined, size and position bounds applied. Texts that differ from a centre by
+shingles of their own drop out there, so a bucket of copies never gives all its pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.llm.bytewords import constants, mix, owners, sliced, text_buffer
@@ -125,6 +127,54 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def central(shared: DataFrame) -> DataFrame:
+    """(band, y): of each bucket the member with the largest buckets overall."""
+    sizes = shared.groupBy("band").agg(F.count("*").alias("size"))
+    degrees = shared.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("degree"))
+    return shared.join(degrees, "node").groupBy("band").agg(F.max_by("node", F.struct("degree", "node")).alias("y"))
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(x, y): pairs of ``nodes`` (node, comp) of different comp that can be linked; no linked pair is missing.
+
+    With shingles ordered by (texts that have it, hash), linked sets share one of their first
+    n - ceil(percent * n / 100) + 1, and after the first shared one enough must be left on both sides.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, "text"):
+            hashes, first = shingle_sets(*text_buffer(part.column(2)))
+            n = np.diff(first)
+            rows = pa.array(owners(first))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(rows), part.column(1).take(rows), pa.array(np.repeat(n, n)),
+                 pa.array(hashes.astype(np.int64))],
+                ["node", "comp", "n", "shingle"],
+            )
+
+    given = nodes.join(texts, "node").select("node", "comp", "text")
+    all_ = written(
+        given.mapInArrow(run, "node decimal(38,0), comp decimal(38,0), n long, shingle long"), "shingles"
+    )
+    common = all_.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    of_node = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("df", "shingle")) - 1
+    needed = written(
+        all_.join(common, "shingle").withColumn("place", place)
+        .where(F.expr(f"place <= n - (({percent} * n + 99) div 100)")).drop("df"),
+        "prefixes",
+    )
+    a = needed.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("node", "comp", "n", "place")))
+    b = needed.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("node", "comp", "n", "place")))
+    enough = F.expr(
+        f"{100 + percent} * least(a_n - a_place, b_n - b_place) >= {percent} * (a_n + b_n)"
+    )
+    pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a_comp") < F.col("b_comp")) & enough)
+    return pairs.select(
+        F.greatest("a_node", "b_node").alias("x"), F.least("a_node", "b_node").alias("y")
+    ).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Groups of texts linked by 100 * intersection >= percent * union of their sets of five-word shingles.
 
@@ -134,10 +184,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     it is kept only if its whole group has no id. Repeated rows give repeated results. Empty input, empty output.
     """
     sets = written(shingled(docs, bands, rows), "sets")
-    members = sets.where("n_shingles > 0").select("node", "n_shingles", F.explode("bands").alias("band"))
-    centres = members.groupBy("band").agg(F.min("node").alias("y"), F.max("node").alias("top")).where("y < top")
-    shared = written(members.join(centres.drop("top"), "band").distinct(), "shared")
-    stars = written(shared.where("node != y").select(F.col("node").alias("x"), "y").distinct(), "stars")
+    members = sets.where("n_shingles > 0").select("node", F.explode("bands").alias("band"))
+    several = members.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    shared = written(members.join(several.select("band"), "band").distinct(), "shared")
+    stars = shared.select("node", "band").join(central(shared), "band").where("node != y")
+    stars = written(
+        stars.select(F.greatest("node", "y").alias("x"), F.least("node", "y").alias("y")).distinct(), "stars"
+    )
 
     nodes = shared.select("node").distinct()
     one_of = sets.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
@@ -151,22 +204,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     links = seen.where("linked").select("x", "y")
     groups = written(connected(links), "groups")
 
-    placed = shared.join(groups, "node", "left").select(
-        "band", "node", "n_shingles", F.coalesce("comp", "node").alias("comp")
-    )
+    placed = shared.select("band", "node").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    open_ = written(placed.join(split.select("band"), "band"), "open")
-    a = open_.select("band", *(F.col(c).alias(f"a_{c}") for c in ("node", "comp", "n_shingles")))
-    b = open_.select("band", *(F.col(c).alias(f"b_{c}") for c in ("node", "comp", "n_shingles")))
-    fits = F.expr(
-        f"100 * least(a_n_shingles, b_n_shingles) >= {int(percent)} * greatest(a_n_shingles, b_n_shingles)"
-    )
-    rest = (
-        a.join(b, (a["band"] == b["band"]) & (F.col("a_comp") < F.col("b_comp")) & fits)
-        .select(F.greatest("a_node", "b_node").alias("x"), F.least("a_node", "b_node").alias("y"))
-        .distinct()
-        .join(seen.select("x", "y"), ["x", "y"], "left_anti")
-    )
+    open_ = written(placed.join(split.select("band"), "band").select("node", "comp").distinct(), "open")
+    rest = prefix_pairs(open_, texts, int(percent)).join(seen.select("x", "y"), ["x", "y"], "left_anti")
     more = written(compared(rest, texts).where(linked).select("x", "y"), "more")
     if not more.isEmpty():
         groups = written(connected(links.union(more)), "groups")
