@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfsight.llm.decontamination import decontaminated
+from shelfsight.llm.quality_rules import quality_rules
 from shelfsight.llm.superminhash import near_duplicates
 
 
@@ -11,11 +13,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminated(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop("text_hash")
+
+
+def op8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir)).drop("text_hash")
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
 
 
 QUERIES = {
+    "op6_prefix_join": op6_prefix_join,
+    "op8_divergence": op8_divergence,
     "op10_superminhash": op10_superminhash,
 }
 
