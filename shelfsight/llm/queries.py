@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from shelfsight.llm.decontamination import decontaminated
+from shelfsight.llm.packing import packed
 from shelfsight.llm.quality_rules import quality_rules
+from shelfsight.llm.secrets import secret_scan
 from shelfsight.llm.superminhash import near_duplicates
 
 
@@ -17,6 +20,14 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir))
+
+
+def op4_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir))
+
+
 def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminated(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop("text_hash")
 
@@ -30,9 +41,12 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_best_fit": op2_best_fit,
+    "op4_markov": op4_markov,
     "op6_prefix_join": op6_prefix_join,
     "op8_divergence": op8_divergence,
     "op10_superminhash": op10_superminhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
