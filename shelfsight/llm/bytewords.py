@@ -51,6 +51,9 @@ class Powers:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        return Powers, (self.base,)
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.up) < n:
             k = len(self.up)

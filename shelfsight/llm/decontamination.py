@@ -181,10 +181,10 @@ _RESULT = (
 
 
 def _one_pass(docs: DataFrame, block: Windows, size: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(block).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
+        block = Windows(*sent.value)
         for part in sliced(batches, "text"):
             text, start, window, counts = _found(part.column(2), block, size)
             hit = _summary(len(counts), text, start, block.length[window], counts)
@@ -202,10 +202,10 @@ def _one_pass(docs: DataFrame, block: Windows, size: int) -> DataFrame:
 
 def _marks(docs: DataFrame, block: Windows, size: int) -> DataFrame:
     """(doc_id, text_hash, n_words, start, length, item) of one block's occurrences."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(block).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
+        block = Windows(*sent.value)
         for part in sliced(batches, "text"):
             text, start, window, counts = _found(part.column(2), block, size)
             rows = pa.array(text)
