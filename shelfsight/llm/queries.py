@@ -9,6 +9,7 @@ from shelfsight.llm.decontamination import decontaminated
 from shelfsight.llm.packing import packed
 from shelfsight.llm.quality_rules import quality_rules
 from shelfsight.llm.secrets import secret_scan
+from shelfsight.llm.suffix_dedup import without_repeats
 from shelfsight.llm.superminhash import near_duplicates
 
 
@@ -20,6 +21,10 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def op1_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir))
+
+
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
@@ -41,6 +46,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_induced_suffixes": op1_induced_suffixes,
     "op2_best_fit": op2_best_fit,
     "op4_markov": op4_markov,
     "op6_prefix_join": op6_prefix_join,
