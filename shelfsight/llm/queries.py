@@ -11,6 +11,7 @@ from shelfsight.llm.quality_rules import quality_rules
 from shelfsight.llm.secrets import secret_scan
 from shelfsight.llm.suffix_dedup import without_repeats
 from shelfsight.llm.superminhash import near_duplicates
+from shelfsight.llm.token_files import token_index
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,12 @@ def op8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("text_hash")
 
 
+def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_index(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
 
@@ -51,6 +58,7 @@ QUERIES = {
     "op4_markov": op4_markov,
     "op6_prefix_join": op6_prefix_join,
     "op8_divergence": op8_divergence,
+    "op9_wavelet": op9_wavelet,
     "op10_superminhash": op10_superminhash,
     "pipeline": corpus_pipeline.run,
 }
