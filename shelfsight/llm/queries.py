@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from shelfsight.llm.decontamination import decontaminated
 from shelfsight.llm.packing import packed
+from shelfsight.llm.quality_knn import quality_scores
 from shelfsight.llm.quality_rules import quality_rules
 from shelfsight.llm.secrets import secret_scan
 from shelfsight.llm.suffix_dedup import without_repeats
 from shelfsight.llm.superminhash import near_duplicates
 from shelfsight.llm.token_files import token_index
+from shelfsight.llm.toxicity import toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +36,22 @@ def op4_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op5_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminated(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop("text_hash")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("text_hash")
 
@@ -56,7 +70,9 @@ QUERIES = {
     "op1_induced_suffixes": op1_induced_suffixes,
     "op2_best_fit": op2_best_fit,
     "op4_markov": op4_markov,
+    "op5_counterfactual": op5_counterfactual,
     "op6_prefix_join": op6_prefix_join,
+    "op7_neighbours": op7_neighbours,
     "op8_divergence": op8_divergence,
     "op9_wavelet": op9_wavelet,
     "op10_superminhash": op10_superminhash,
