@@ -34,7 +34,7 @@ def constants(n: int, seed: int) -> np.ndarray:
 _BYTES = constants(256, 1)
 _LOWER = np.arange(256)
 _LOWER[0x41:0x5B] += 0x20
-_FOLDED = _BYTES[_LOWER]
+FOLDED = _BYTES[_LOWER]
 
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[list(SPACES)] = False
@@ -126,7 +126,7 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers
 def word_hashes(data: np.ndarray, at: np.ndarray, member: np.ndarray, fold: bool):
     """Hash, start and end of each word, and each text's first word. ``fold`` lower-cases A-Z."""
     starts, ends, first = word_bounds(data, at, member)
-    prefix = prefix_sums(data, _FOLDED if fold else _BYTES)
+    prefix = prefix_sums(data, FOLDED if fold else _BYTES)
     return span_hashes(prefix, starts, ends), starts, ends, first
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from shelfsight.llm.decontamination import decontaminated
+from shelfsight.llm.licences import licence_scan
 from shelfsight.llm.packing import packed
 from shelfsight.llm.quality_knn import quality_scores
 from shelfsight.llm.quality_rules import quality_rules
@@ -32,6 +33,10 @@ def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
 
+def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(documents(spark, sf_dir))
+
+
 def op4_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
@@ -69,6 +74,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_induced_suffixes": op1_induced_suffixes,
     "op2_best_fit": op2_best_fit,
+    "op3_paragraphs": op3_paragraphs,
     "op4_markov": op4_markov,
     "op5_counterfactual": op5_counterfactual,
     "op6_prefix_join": op6_prefix_join,

@@ -1,4 +1,4 @@
-"""Toxicity: logistic regression over words, regularised by counterfactual identity terms.
+"""Toxicity: logistic regression over words and word beginnings, regularised by counterfactual identity terms.
 
 In labelled sentences identity terms are swapped for others of their group, and the squared change of the
 sentence's score is added to the loss, so that naming a group does not move a score by itself.
@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.bytewords import ALNUM, owners, sliced, text_buffer, word_hashes
+from shelfsight.llm.bytewords import (
+    ALNUM, FOLDED, mix, owners, prefix_sums, sliced, span_hashes, text_buffer, word_bounds, word_hashes,
+)
 from shelfsight.llm.labelled import held_out, training_sample
 from shelfsight.workspace import written
 
@@ -31,15 +33,20 @@ IDENTITY_TERMS = (
     ("muslime", "christen", "juden"), ("mujeres", "hombres", "niñas"), ("musulmanes", "cristianos", "judíos"),
 )
 
+PREFIXES = (4, 5, 6, 7, 8)
+LEVELS = (2, 3, 5)
+
 
 @dataclass(frozen=True)
 class ToxicitySettings:
-    """At most ``sample`` labelled ids train the model on the ``features`` words that tell labels apart best, among
-    those in ``least_texts`` sampled texts or more. ``ridge`` and ``counterfactual`` weigh the penalties."""
+    """At most ``sample`` labelled ids train the model on the ``features`` words and word beginnings that tell labels
+    apart best, among those in ``least_texts`` sampled texts or more whose chi-squared statistic reaches
+    ``least_statistic``. ``ridge`` and ``counterfactual`` weigh the penalties."""
 
     sample: int = 12_000
     features: int = 1_500
     least_texts: int = 5
+    least_statistic: float = 15.0
     ridge: float = 2e-4
     counterfactual: float = 1.0
     steps: int = 300
@@ -47,7 +54,8 @@ class ToxicitySettings:
 
 @dataclass
 class ToxicityModel:
-    words: np.ndarray  # sorted hashes
+    words: np.ndarray  # sorted features
+    bases: np.ndarray  # their hashes without count, sorted
     weights: np.ndarray
     bias: float
 
@@ -56,65 +64,106 @@ def term_hashes(terms: list[str]) -> np.ndarray:
     return word_hashes(*text_buffer(pa.array(terms)), ALNUM, fold=True)[0]
 
 
-def present(data: np.ndarray, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of each distinct known word of each text."""
-    hashes, _, _, first = word_hashes(data, at, ALNUM, fold=True)
+def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every word and of its beginnings of PREFIXES bytes, and the text of each."""
+    starts, ends, first = word_bounds(data, at, ALNUM)
+    who, sums = owners(first), prefix_sums(data, FOLDED)
+    hashes, texts = [span_hashes(sums, starts, ends)], [who]
+    for n in PREFIXES:
+        longer = ends - starts > n
+        hashes.append(mix(span_hashes(sums, starts[longer], starts[longer] + n)))
+        texts.append(who[longer])
+    return np.concatenate(hashes), np.concatenate(texts)
+
+
+def counted(hashes: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, its hash without count, text): each distinct hash of a text, and once more for each of LEVELS that
+    its count in the text reaches."""
+    order = np.lexsort((hashes, who))
+    hashes, who = hashes[order], who[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (who[1:] != who[:-1])
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(hashes)))
+    base, text = hashes[at], who[at]
+    out = [(base, base, text)]
+    for level in LEVELS:
+        some = count >= level
+        out.append((mix(base[some] + np.uint64(level)), base[some], text[some]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _place(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are known, and their places."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     place = np.searchsorted(known, hashes)
     place[place == len(known)] = 0
-    hit = np.flatnonzero(known[place] == hashes) if len(known) else np.zeros(0, np.int64)
-    pairs = np.unique(owners(first)[hit] * max(len(known), 1) + place[hit])
-    return pairs // max(len(known), 1), pairs % max(len(known), 1)
+    hit = np.flatnonzero(known[place] == hashes)
+    return hit, place[hit]
+
+
+def present(data: np.ndarray, at: np.ndarray, known: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of each known feature of each text."""
+    hashes, who = features(data, at)
+    some, _ = _place(bases, hashes)
+    feature, _, text = counted(hashes[some], who[some])
+    hit, place = _place(known, feature)
+    return text[hit], place
 
 
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in sliced(batches, "text"):
-        hashes, _, _, first = word_hashes(*text_buffer(part.column(0)), ALNUM, fold=True)
-        who = owners(first)
-        order = np.lexsort((hashes, who))
-        hashes, who = hashes[order], who[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (who[1:] != who[:-1])
-        label = part.column(1).take(pa.array(who[new]))
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[new].astype(np.int64)), label], ["word", "label"])
-
-
-def _chosen_words(sample: DataFrame, settings: ToxicitySettings) -> np.ndarray:
-    """Hashes of the words with the largest chi-squared statistic, and of all identity terms."""
+        feature, base, text = counted(*features(*text_buffer(part.column(0))))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(feature.astype(np.int64)), pa.array(base.astype(np.int64)), part.column(1).take(pa.array(text))],
+            ["word", "base", "label"],
+        )
+
+
+def _chosen_words(sample: DataFrame, settings: ToxicitySettings) -> tuple[np.ndarray, np.ndarray]:
+    """The features with the largest chi-squared statistic and all identity terms, and their hashes without count."""
     toxic, texts = sample.agg(F.sum("label"), F.count("*")).first()
     n, p = texts or 0, (toxic or 0) / max(texts, 1)
-    counts = sample.select("text", F.col("label").cast("long")).mapInArrow(_distinct_words, "word long, label long")
-    counts = counts.groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("df"))
+    counts = sample.select("text", F.col("label").cast("long")).mapInArrow(
+        _distinct_words, "word long, base long, label long"
+    )
+    counts = counts.groupBy("word").agg(F.min("base").alias("base"), F.sum("label").alias("a"), F.count("*").alias("df"))
     counts = counts.where(F.col("df") >= settings.least_texts)
     gap = F.col("a") - F.col("df") * p
     statistic = F.round(gap * gap * n / (F.col("df") * (n - F.col("df") + 1) * max(p * (1 - p), 1e-9)), 6)
-    best = counts.orderBy(statistic.desc(), "word").limit(settings.features).select("word").toArrow()
-    found = best.column(0).to_numpy().astype(np.uint64)
-    return np.unique(np.concatenate([found, term_hashes([t for group in IDENTITY_TERMS for t in group])]))
+    counts = counts.withColumn("statistic", statistic).where(F.col("statistic") >= settings.least_statistic)
+    best = counts.orderBy(F.desc("statistic"), "word").limit(settings.features).select("word", "base").toArrow()
+    terms = term_hashes([t for group in IDENTITY_TERMS for t in group])
+    found, bases = (best.column(c).to_numpy().astype(np.uint64) for c in ("word", "base"))
+    return np.unique(np.concatenate([found, terms])), np.unique(np.concatenate([bases, terms]))
 
 
-def counterfactuals(texts: list[str], known: np.ndarray) -> Counter:
+def counterfactuals(texts: list[str], known: np.ndarray, bases: np.ndarray) -> Counter:
     """(feature, other feature) of every swap of an identity term in every sentence that has one, counted."""
     groups = [np.searchsorted(known, term_hashes(list(group))) for group in IDENTITY_TERMS]
     group_of = {int(f): g for g, members in enumerate(groups) for f in members}
     sentences = [s for text in texts for s in text.replace("!", ".").replace("?", ".").replace("\n", ".").split(".") if s]
     out: Counter = Counter()
     if sentences:
-        for f in present(*text_buffer(pa.array(sentences)), known)[1].tolist():
+        for f in present(*text_buffer(pa.array(sentences)), known, bases)[1].tolist():
             if f in group_of:
                 out.update((f, int(other)) for other in groups[group_of[f]] if other != f)
     return out
 
 
-def fit(rows: list[tuple[str, int]], known: np.ndarray, settings: ToxicitySettings = ToxicitySettings()) -> ToxicityModel:
+def fit(
+    rows: list[tuple[str, int]], known: np.ndarray, bases: np.ndarray, settings: ToxicitySettings = ToxicitySettings()
+) -> ToxicityModel:
     """Minimises mean log loss + ridge + counterfactual penalty by Adam over the whole sample."""
     size = len(known)
     label = np.array([y for _, y in rows], float)
     if not len(rows) or label.min() == label.max():
         rate = (label.sum() + 0.5) / (len(label) + 1)
-        return ToxicityModel(known, np.zeros(size), float(np.log(rate / (1 - rate))))
+        return ToxicityModel(known, bases, np.zeros(size), float(np.log(rate / (1 - rate))))
     texts = [t for t, _ in rows]
-    who, feature = present(*text_buffer(pa.array(texts, pa.large_string())), known)
-    pairs = counterfactuals(texts, known)
+    who, feature = present(*text_buffer(pa.array(texts, pa.large_string())), known, bases)
+    pairs = counterfactuals(texts, known, bases)
     a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
     share = np.array(list(pairs.values()), float) / max(sum(pairs.values()), 1)
     x = np.zeros(size + 1)
@@ -131,12 +180,12 @@ def fit(rows: list[tuple[str, int]], known: np.ndarray, settings: ToxicitySettin
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         x -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-10)
-    return ToxicityModel(known, x[:-1], float(x[-1]))
+    return ToxicityModel(known, bases, x[:-1], float(x[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> ToxicityModel:
     sample = written(training_sample(docs, labels, "toxic", settings.sample), "toxic-sample")
-    known = _chosen_words(sample, settings)
+    known, bases = _chosen_words(sample, settings)
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only known words reach the driver; sentence ends stay."""
@@ -144,9 +193,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = Toxic
             out = []
             for t in range(part.num_rows):
                 data, at = text_buffer(part.column(0).slice(t, 1))
-                hashes, starts, ends, _ = word_hashes(data, at, ALNUM, fold=True)
+                starts, ends, _ = word_bounds(data, at, ALNUM)
+                sums = prefix_sums(data, FOLDED)
+                useful = np.isin(span_hashes(sums, starts, ends), bases)
+                for n in PREFIXES:
+                    cut = np.minimum(starts + n, ends)
+                    useful |= (ends > cut) & np.isin(mix(span_hashes(sums, starts, cut)), bases)
                 marks = np.flatnonzero(np.isin(data, np.frombuffer(b".!?\n", np.uint8)))
-                keep = np.flatnonzero(np.isin(hashes, known))
+                keep = np.flatnonzero(useful)
                 items = [(int(s), bytes(data[s:e])) for s, e in zip(starts[keep], ends[keep], strict=True)]
                 items += [(int(m), b".") for m in marks] if len(items) else []
                 out.append(b" ".join(x for _, x in sorted(items)).decode())
@@ -154,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = Toxic
 
     rows = sample.select("text", F.col("label").cast("long")).mapInArrow(reduced, "text string, label long").toArrow()
     pairs = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
-    return fit(pairs, known, settings)
+    return fit(pairs, known, bases, settings)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> DataFrame:
@@ -162,12 +216,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = To
     from ``labels`` (doc_id, toxic). A null or empty text gets the score of a text without known words. Without
     usable labels every score is 0.5. Repeated rows give repeated results; empty input gives empty output."""
     model = train(docs, labels, settings)
-    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.bases, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights, bias = sent.value
+        words, bases, weights, bias = sent.value
         for part in sliced(batches, "text"):
-            who, feature = present(*text_buffer(part.column(2)), words)
+            who, feature = present(*text_buffer(part.column(2)), words, bases)
             score = 1 / (1 + np.exp(-(np.bincount(who, weights[feature], part.num_rows) + bias)))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
