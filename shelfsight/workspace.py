@@ -57,6 +57,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables made by written() that nothing reads any more. Other tables are left alone."""
+    for frame in frames:
+        spark = frame.sparkSession
+        own = f"/shelfsight/{spark.sparkContext.applicationId}/"
+        for folder in {os.path.dirname(path) for path in frame.inputFiles()}:
+            if own in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _summary(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
