@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from shelfsight.llm.bytewords import mix, prefix_sums, ragged_ranges, sliced, span_hashes, text_buffer
 from shelfsight.llm.suffix_sampling import second_sums, spans_second, window_runs
-from shelfsight.workspace import written
+from shelfsight.workspace import discard, written
 
 LENGTH = 200
 LEVELS = (16, 1)
@@ -128,10 +128,12 @@ def _units(work: DataFrame, size: int, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, text_hash, spans): of each text the (start, windows) that repeat, in any order."""
-    runs = written(sampled_runs(docs, length), "runs")
-    shared = written(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    runs = written(runs.join(shared, "anchor"), "shared-runs")
+    """(doc_id, text_hash, spans): of each text the (start, windows) that repeat, in any order. Written; the tables
+    on the way are deleted as soon as nothing needs them."""
+    all_runs = written(sampled_runs(docs, length), "runs")
+    shared = written(all_runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    runs = written(all_runs.join(shared, "anchor"), "shared-runs")
+    discard(all_runs, shared)
     kinds = written(
         runs.groupBy("anchor", "block").agg(
             F.count("*").alias("weight"), *(F.first(c).alias(c) for c in ("doc_id", "text_hash", "start", "n", "lead"))
@@ -146,7 +148,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     descending = written(descending.drop("block"), "descending")
     contexts = written(_contexts(docs, descending, length), "contexts")
     work = contexts.withColumn("lo", F.lit(0)).withColumn("hi", F.col("n") - 1)
-    marks = None
+    marks, made = None, [runs, kinds, descending, contexts]
     for size in LEVELS:
         units = written(_units(work, size, length), "units")
         alike = written(
@@ -155,6 +157,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             ),
             "alike",
         )
+        made += [units, alike]
         settled = alike.where("weight > 1").select("anchor", "core", "block")
         own = units.where("weight = 1").join(settled, ["anchor", "core", "block"], "left_semi")
         own = own.select("rid", "lo", (F.col("hi") - F.col("lo") + 1).alias("n"))
@@ -170,7 +173,9 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         "doc_id", "text_hash", (F.col("start") + F.col("m.lo")).alias("start"), F.col("m.n").alias("n")
     )
     both = spans.union(marked)
-    return both.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    out = written(both.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+    discard(*made)
+    return out
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -184,7 +189,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     docs = docs.select(
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")
     )
-    spans = written(repeated_spans(docs, length), "spans")
+    spans = repeated_spans(docs, length)
     spans = spans.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "spans")
     joined = docs.join(spans, F.expr("doc_id <=> id AND text_hash = h"), "left").select("doc_id", "text", "spans")
 
