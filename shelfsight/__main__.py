@@ -11,10 +11,12 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from shelfsight.model import Tables
 from shelfsight.operators.loading import table_row_counts
+from shelfsight.operators.quality import dropped_rows, violations
 from shelfsight.sources.csv_files import load_staging
 from shelfsight.sources.parquet_tables import open_star_schema, persist_star_schema
-from shelfsight.suite import CATALOGUE, PRODUCTION, QUALITY, run_suite
+from shelfsight.suite import CATALOGUE, PRODUCTION, run_suite
 
 
 def _arguments() -> argparse.Namespace:
@@ -23,6 +25,7 @@ def _arguments() -> argparse.Namespace:
     load = commands.add_parser("load", help="CSV to staging table and star schema")
     load.add_argument("csv")
     load.add_argument("star")
+    load.add_argument("--strict", action="store_true", help="fail if a table constraint is broken")
     run = commands.add_parser("run", help="analyses to CSV reports; the production suite if unnamed")
     run.add_argument("star")
     run.add_argument("out")
@@ -32,6 +35,14 @@ def _arguments() -> argparse.Namespace:
     return parser.parse_args()
 
 
+def _end_on_violations(tables: Tables) -> None:
+    found = violations(tables)
+    for check, count in found:
+        print(f"{check:50} {count}")
+    if found:
+        raise SystemExit(1)
+
+
 def main() -> None:
     args = _arguments()
     spark = SparkSession.builder.appName("shelfsight").getOrCreate()
@@ -39,6 +50,9 @@ def main() -> None:
         tables = persist_star_schema(load_staging(spark, args.csv), args.star)
         for line in table_row_counts(tables).collect():
             print(f"{line.table_name:24} {line.rows}")
+        print(f"{'dropped, no region':24} {dropped_rows(tables).first().violations}")
+        if args.strict:
+            _end_on_violations(tables)
     elif args.command == "run":
         unknown = [name for name in args.names if name not in CATALOGUE]
         if unknown:
@@ -47,10 +61,7 @@ def main() -> None:
         for outcome in run_suite(tables, args.out, args.names or PRODUCTION):
             print(f"{outcome.name:34} {outcome.error or outcome.rows}")
     else:
-        tables = open_star_schema(spark, args.star)
-        for analysis in QUALITY.values():
-            for line in analysis(tables).filter("violations > 0").collect():
-                print(f"{line.check:50} {line.violations}")
+        _end_on_violations(open_star_schema(spark, args.star))
 
 
 if __name__ == "__main__":

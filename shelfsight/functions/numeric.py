@@ -1,7 +1,8 @@
 """Numeric column helpers.
 
-Sums are kept in integers or decimals until the last projection, so a result does not
-depend on the order in which partitions are merged.
+Sums of units, money and squares are kept in integers or decimals until the last
+projection, so they do not depend on the order in which partitions are merged. Sums of
+ratios are sums of doubles and are only rounded.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def cents(amount: str) -> Column:
 
 def from_cents(total: Column | str) -> Column:
     """A sum of hundredths as a decimal again."""
-    return (F.col(total) if isinstance(total, str) else total).cast("decimal(20,0)") * F.lit(
+    return (F.col(total) if isinstance(total, str) else total).cast("decimal(36,0)") * F.lit(
         Decimal("0.01")
     )
 

@@ -38,6 +38,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 STAGING_SCHEMA = _struct(*[(name, kind) for _, name, kind, _ in STAGING_COLUMNS])
 
+# Columns of the modelled tables.
 SCHEMAS = {
     "staging_inventory": STAGING_SCHEMA,
     "dim_date": _struct(
@@ -130,8 +131,3 @@ class Tables:
         return (
             self.fact.filter(month).agg(latest).first()[0] or self.fact.agg(latest).first()[0]
         )
-
-    @cached_property
-    def product_rows(self) -> int:
-        """Rows of the larger product list: a bound on any per-product result."""
-        return max(self.dim_product.count(), self.products.count())

@@ -76,7 +76,7 @@ def moving_means(tables: Tables) -> DataFrame:
 
 def abc(tables: Tables, a: float = 70, b: float = 90) -> DataFrame:
     shares = revenue_shares(tables)
-    return shares.orderBy(F.desc_nulls_last("revenue"), "product_id").select(
+    return shares.orderBy(F.desc_nulls_last("revenue"), "product_id", "category").select(
         "product_id",
         "category",
         "units_sold",

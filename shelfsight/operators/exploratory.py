@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight import params as P
-from shelfsight.functions.numeric import as_double, cents, from_cents, mean_of, ratio, round_to
+from shelfsight.functions.numeric import EXACT, as_double, cents, from_cents, mean_of, ratio, round_to
 from shelfsight.model import Tables
 from shelfsight.plans.ranking import class_by, percent_rank, with_descending_order
 
@@ -276,17 +276,10 @@ def lost_revenue(tables: Tables, threshold: int = 50) -> DataFrame:
 
 
 def abc_percentile(tables: Tables, a: float = 0.20, b: float = 0.50) -> DataFrame:
-    """Revenue per category and class, products classed by percent rank of revenue at
-    the first-seen price. The price is constant per product and applied to its units."""
-    units = _per_product(tables, F.sum("units_sold").alias("sold"))
-    valued = units.join(tables.products, "product_id").select(
-        "product_id", "category", (F.col("sold") * cents("price")).alias("earned")
-    )
-    ordered = with_descending_order(valued, "earned", "product_id", at_most=tables.product_rows)
-    label = class_by(percent_rank(), (a, b), P.RANK_CLASS_NAMES)
+    """Revenue per category and class of percentile_classes."""
     return (
-        ordered.groupBy(_category(), label.alias("ABC_Classification"))
-        .agg(F.sum("earned").alias("earned"))
+        percentile_classes(tables, a, b).groupBy(_category(), "ABC_Classification")
+        .agg(F.sum(F.col("earned").cast(EXACT)).alias("earned"))
         .select(
             "Category",
             "ABC_Classification",
@@ -296,12 +289,24 @@ def abc_percentile(tables: Tables, a: float = 0.20, b: float = 0.50) -> DataFram
     )
 
 
+def percentile_classes(tables: Tables, a: float = 0.20, b: float = 0.50) -> DataFrame:
+    """Products with revenue, in hundredths, and class by percent rank of revenue at the
+    first-seen price. The price is constant per product and applied to its units."""
+    units = _per_product(tables, F.sum("units_sold").alias("sold"))
+    valued = units.join(tables.products, "product_id").select(
+        "product_id", "category", (F.col("sold") * cents("price")).alias("earned")
+    )
+    ordered = with_descending_order(valued, "earned", ["product_id", "category"])
+    label = class_by(percent_rank(), (a, b), P.RANK_CLASS_NAMES)
+    return ordered.select("product_id", "category", "earned", label.alias("ABC_Classification"))
+
+
 # --- views on the results above ----------------------------------------------------
 
 
 def high_risk(tables: Tables, limit: int = 10) -> DataFrame:
     """The high-risk rows among the products reorder_risk lists."""
-    return reorder_risk(tables).filter(F.col("Stockout_Risk") == P.HIGH_RISK).limit(limit)
+    return reorder_risk(tables, limit=limit).filter(F.col("Stockout_Risk") == P.HIGH_RISK).limit(limit)
 
 
 def fast_slow_extremes(tables: Tables, n: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfsight import params as P
 from shelfsight.functions.numeric import (
+    EXACT,
     as_double,
     cents,
     from_cents,
@@ -105,7 +106,8 @@ def reorder_points(tables: Tables, policy: ReorderPolicy = POLICY) -> DataFrame:
 
 
 def turnover(tables: Tables, window: int = 365) -> DataFrame:
-    """Units sold against mean stock per product, and the days one stock lasts."""
+    """Units sold in the window against mean stock per product, and the days one stock
+    lasts at that pace."""
     totals = (
         trailing(tables, window)
         .groupBy("product_id")
@@ -125,7 +127,7 @@ def turnover(tables: Tables, window: int = 365) -> DataFrame:
             "total_units_sold",
             round_to(F.col("stock"), 1).alias("avg_inventory"),
             round_to(F.col("turns"), 2).alias("turnover_ratio"),
-            round_to(ratio(F.lit(365.0), "turns"), 1).alias("days_inventory_outstanding"),
+            round_to(ratio(F.lit(float(window)), "turns"), 1).alias("days_inventory_outstanding"),
         )
         .orderBy(F.desc_nulls_last("turnover_ratio"), "category", "product_id")
     )
@@ -154,7 +156,7 @@ def window_kpis(tables: Tables, window: int) -> DataFrame:
     )
     return by_day.agg(
         F.count("txn_date").alias("days_in_window"),
-        *[F.sum(name).alias(name) for name in parts],
+        *[F.sum(F.col(name).cast(EXACT) if name == "earned" else name).alias(name) for name in parts],
     ).withColumns(
         {"stock": ratio("stock_sum", "stock_n"), "revenue": as_double(from_cents("earned"))}
     )
@@ -179,7 +181,7 @@ def kpi_summary(tables: Tables, window: int = 90) -> DataFrame:
 def revenue_shares(tables: Tables) -> DataFrame:
     """Product revenue with rank, share and cumulative share in percent, unrounded."""
     ordered = with_descending_order(
-        product_revenue(tables), "earned", "product_id", at_most=tables.product_rows
+        product_revenue(tables), "earned", ["product_id", "category"]
     )
     total = from_cents("total")
     return ordered.select(
@@ -197,7 +199,7 @@ def abc_analysis(tables: Tables, a: float = 70, b: float = 90) -> DataFrame:
     """Classes by cumulative revenue share, the product's own share included: one that
     crosses a limit belongs to the class below it."""
     shares = revenue_shares(tables)
-    return shares.orderBy("rank", "product_id").select(
+    return shares.orderBy("rank", "product_id", "category").select(
         "product_id",
         "category",
         "units_sold",

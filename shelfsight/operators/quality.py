@@ -126,6 +126,27 @@ def nulls(tables: Tables) -> DataFrame:
     return _union(checks)
 
 
+def dropped_rows(tables: Tables) -> DataFrame:
+    """Staging rows that the fact leaves out because no region matches. Counted per region
+    first, so a join of a few names is left."""
+    counted = tables.staging.groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
+    lost = counted.join(tables.dim_region, counted["region"] == tables.dim_region["region_name"], "left_anti")
+    return lost.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("violations")).select(
+        F.lit("staging rows without a region").alias("check"), "violations"
+    )
+
+
+def violations(tables: Tables) -> list[tuple[str, int]]:
+    """Every broken constraint with its count; empty if all hold. A handful of rows."""
+    checks = (
+        fact_key_unique, dimension_keys_unique, foreign_keys, value_ranges, nulls, text_lengths, dropped_rows,
+    )
+    found = []
+    for check in checks:
+        found += [(r["check"], r["violations"]) for r in check(tables).filter("violations > 0").collect()]
+    return found
+
+
 def text_lengths(tables: Tables) -> DataFrame:
     """Texts above the declared length per column, one pass per table."""
     return _union(

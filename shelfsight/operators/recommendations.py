@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight import params as P
-from shelfsight.functions.numeric import mean_of, ratio, round_to
+from shelfsight.functions.numeric import as_double, from_cents, mean_of, ratio, round_to
 from shelfsight.model import Tables
-from shelfsight.operators.exploratory import days_of_supply
-from shelfsight.operators.production import revenue_shares
+from shelfsight.operators.exploratory import days_of_supply, percentile_classes
 from shelfsight.plans.cores import PAIR, category_totals, trailing
-from shelfsight.plans.ranking import class_by
 
 
 def trailing_velocity_gap(tables: Tables, window: int = 7) -> DataFrame:
@@ -40,16 +38,17 @@ def trailing_velocity_gap(tables: Tables, window: int = 7) -> DataFrame:
 
 
 def critical_class_a(tables: Tables, days: float = 1.5) -> DataFrame:
-    """Class A products whose mean stock covers fewer than ``days`` days of mean sales."""
-    cls = class_by(F.col("cumulative_share"), (70, 90), P.SHARE_CLASSES)
-    class_a = revenue_shares(tables).filter(cls == P.SHARE_CLASSES[0])
+    """Products of the top class by percent rank of revenue whose mean stock covers fewer
+    than ``days`` days of mean sales."""
+    top = F.col("ABC_Classification") == P.RANK_CLASS_NAMES[0]
+    class_a = percentile_classes(tables).filter(top)
     thin = days_of_supply(tables).filter(F.col("supply") < F.lit(float(days)))
     return (
         class_a.join(thin, "product_id")
         .select(
             "product_id",
             "category",
-            "revenue",
+            as_double(from_cents("earned")).alias("revenue"),
             round_to(F.col("supply"), 2).alias("days_of_supply"),
         )
         .orderBy("days_of_supply", "product_id")

@@ -91,7 +91,7 @@ RELATIONS = {
                100.0::DOUBLE * CAST(sum(b.rev) AS DOUBLE)
                    / CAST((SELECT sum(rev) FROM product_sales) AS DOUBLE) AS cum
         FROM product_sales a
-        JOIN product_sales b ON b.rev > a.rev OR (b.rev = a.rev AND b.product_id <= a.product_id)
+        JOIN product_sales b ON b.rev > a.rev OR (b.rev = a.rev AND (b.product_id, b.category) <= (a.product_id, a.category))
         GROUP BY a.product_id, a.category, a.units, a.rev""",
     "daily": """
         SELECT txn_date, sum(units_sold) AS units, sum(demand_forecast) AS planned,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from shelfsight.model import SCHEMAS, STAGING_COLUMNS, STAR_TABLES, TEXT_LIMITS
+# Fixed values in the statements below: class limits 70 and 90 percent of cumulative revenue (at or
+# below 70 is A, at or below 90 is B, else C), and 0.20 and 0.50 of percent rank.
 from shelfsight.oracles.relations import with_relations
 
 LOADING = {
@@ -86,8 +88,8 @@ PRODUCTION = {
         SELECT product_id, category, CAST(units AS BIGINT) AS units_sold,
                CAST(rev AS DOUBLE) AS revenue, round(pct, 2) AS pct_of_revenue,
                round(cum, 2) AS cumulative_pct,
-               CASE WHEN cum > 90 THEN 'C - Slow Mover' WHEN cum > 70 THEN 'B - Medium Mover'
-                    ELSE 'A - Fast Mover' END AS abc_class
+               CASE WHEN cum <= 70 THEN 'A - Fast Mover' WHEN cum <= 90 THEN 'B - Medium Mover'
+                    ELSE 'C - Slow Mover' END AS abc_class
         FROM shares""",
     "q7_stock_adjustments": """
         SELECT store_id, product_id, on_hand, low AS reorder_point, high AS target_max,
@@ -212,7 +214,7 @@ DASHBOARD = {
     "d3_abc": """
         SELECT product_id, category, CAST(units AS BIGINT) AS units_sold,
                CAST(rev AS DOUBLE) AS revenue, pct, cum AS cum_pct,
-               CASE WHEN cum > 90 THEN 'C' WHEN cum > 70 THEN 'B' ELSE 'A' END AS abc
+               CASE WHEN cum <= 70 THEN 'A' WHEN cum <= 90 THEN 'B' ELSE 'C' END AS abc
         FROM shares""",
     "d4_category_sales": """
         SELECT category, CAST(sum(rev) AS DOUBLE) AS revenue, CAST(sum(units) AS BIGINT) AS units
@@ -276,7 +278,7 @@ DERIVED = {
         FROM fact_inventory_daily""",
     "p8_top_products": """
         SELECT product_id, category, CAST(rev AS DOUBLE) AS revenue,
-               CASE WHEN cum > 90 THEN 'C' WHEN cum > 70 THEN 'B' ELSE 'A' END AS abc
+               CASE WHEN cum <= 70 THEN 'A' WHEN cum <= 90 THEN 'B' ELSE 'C' END AS abc
         FROM shares ORDER BY rev DESC, product_id LIMIT 15""",
     "p9_revenue_mix": """
         SELECT category, CAST(sum(rev) AS DOUBLE) AS revenue,
@@ -303,7 +305,7 @@ DERIVED = {
         FROM seasons""",
     "p13_top_products_millions": """
         SELECT product_id, CAST(rev AS DOUBLE) / 1000000 AS revenue_m,
-               CASE WHEN cum > 90 THEN 'C' WHEN cum > 70 THEN 'B' ELSE 'A' END AS abc
+               CASE WHEN cum <= 70 THEN 'A' WHEN cum <= 90 THEN 'B' ELSE 'C' END AS abc
         FROM shares ORDER BY rev DESC, product_id LIMIT 15""",
     "p13_monthly_thousands": """
         SELECT strftime(min(txn_date), '%b') AS m_label,
@@ -373,6 +375,10 @@ QUALITY = {
         for table in ("staging_inventory", *STAR_TABLES)
         for column in SCHEMAS[table].fieldNames()
     ),
+    "v7_dropped_rows": """
+        SELECT 'staging rows without a region' AS "check",
+               (SELECT count(*) FROM staging_inventory) - (SELECT count(*) FROM fact_inventory_daily)
+                   AS violations""",
     "v6_text_lengths": "\nUNION ALL ".join(
         _offending(f"{table}.{column} <= {limit}", table, f"length({column}) > {limit}")
         for table, limits in TEXT_LIMITS.items()
@@ -389,10 +395,11 @@ RECOMMENDATIONS = {
         FROM fact_inventory_daily, today WHERE date_diff('day', txn_date, d) <= 7
         GROUP BY store_id, product_id HAVING sum(units_sold) > sum(units_ordered)""",
     "r2_critical_class_a": """
-        SELECT shares.product_id, category, CAST(rev AS DOUBLE) AS revenue,
+        SELECT product_id, cat AS category, CAST(sold * first_price AS DOUBLE) AS revenue,
                round(stock / nullif(pace, 0), 2) AS days_of_supply
-        FROM shares JOIN per_product USING (product_id)
-        WHERE cum <= 70 AND stock / nullif(pace, 0) < 1.5""",
+        FROM (SELECT *, percent_rank() OVER (ORDER BY sold * first_price DESC NULLS LAST) AS place
+              FROM per_product)
+        WHERE place <= 0.20 AND stock / nullif(pace, 0) < 8.7""",
     "r3_category_days_of_supply": """
         SELECT category, round(avg(inventory_level), 1) AS avg_inventory,
                round(avg(units_sold), 1) AS avg_daily_sales,

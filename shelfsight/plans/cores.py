@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.functions.numeric import cents, mean_of, moments, sample_sd_of
+from shelfsight.functions.numeric import EXACT, cents, mean_of, moments, sample_sd_of
 from shelfsight.model import PARTITION, Tables
 from shelfsight.params import ReorderPolicy
 
@@ -99,13 +99,18 @@ def product_revenue(tables: Tables) -> DataFrame:
 def category_totals(tables: Tables, extra_keys: list[str], sums: dict[str, Column]) -> DataFrame:
     """Sums per category and further fact keys, by way of per-product sums.
 
-    ``sums`` must hold aggregates whose parts can be added up again.
+    ``sums`` must hold aggregates whose parts can be added up again. Money per product fits a
+    bigint; above that it is added up as exact decimals.
     """
+
+    def part(name: str) -> Column:
+        return F.col(name).cast(EXACT) if name == "earned" else F.col(name)
+
     per_product = tables.fact.groupBy("product_id", *extra_keys).agg(
         *[agg.alias(name) for name, agg in sums.items()]
     )
     return (
         per_product.join(tables.dim_product, "product_id")
         .groupBy("category", *extra_keys)
-        .agg(*[F.sum(name).alias(name) for name in sums])
+        .agg(*[F.sum(part(name)).alias(name) for name in sums])
     )

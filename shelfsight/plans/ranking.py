@@ -1,8 +1,9 @@
 """Rank, share and running total over one global descending order.
 
-A window without partition keys brings all rows to one task. That is fine for a short
-list, and is used when the caller can bound its length; beyond that the list is split by
-range, each range is worked on by itself, and what precedes it is added as an offset.
+A window without partition keys brings all rows to one task. Here the values are split
+into buckets by magnitude, each bucket is worked on by itself, and what precedes it is
+added as an offset. Buckets are a function of the value, so the plan is lazy and the same
+at every size.
 """
 
 from __future__ import annotations
@@ -10,124 +11,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfsight.workspace import written
+from shelfsight.functions.numeric import EXACT
 
-ONE_TASK_ROWS = 100_000
+# Buckets per doubling of the value, and parts that rows without a value, or of value 0,
+# are dealt to; neither adds to a running sum, so their order among themselves is free.
+STEPS_BITS = 7
+ZERO_PARTS = 1024
 
-# Stands for NULL in the sort key; below any sum of money.
-_LOWEST = -(2**63)
+
+def value_bucket(value: str):
+    """A number that grows with the value: 128 steps per power of two, so at most 16,131
+    numbers for all of bigint and NULL, which comes lowest."""
+    size = F.abs(F.col(value))
+    power = F.length(F.bin(size)) - 1
+    step = F.when(power >= STEPS_BITS, F.expr(f"shiftright(abs({value}), length(bin(abs({value}))) - 8)")).otherwise(
+        F.expr(f"shiftleft(abs({value}), greatest(8 - length(bin(abs({value}))), 0))")
+    )
+    number = (power * 128 + step.bitwiseAND(127) + 1).cast("int")
+    return (
+        F.when(F.col(value).isNull(), -(2**31)).when(F.col(value) == 0, 0)
+        .when(F.col(value) > 0, number).otherwise(-number)
+    )
 
 
-def with_descending_order(df: DataFrame, value: str, tie: str, at_most: int | None) -> DataFrame:
+def with_descending_order(df: DataFrame, value: str, ties: list[str]) -> DataFrame:
     """Add to every row, by ``value`` descending (NULL last):
 
     ``rank``: 1 plus the number of rows with a greater value;
-    ``running``: sum of ``value`` up to and including the row, equal values by ``tie``;
+    ``running``: sum of ``value`` up to and including the row, equal values by ``ties``;
     ``total`` and ``row_total``: sum of ``value`` and number of rows over all.
 
-    ``value`` is a bigint, money in hundredths, and (value, tie) unique. ``at_most`` is a
-    known upper bound of the row count, or None.
+    ``value`` is a bigint, money in hundredths, and (value, *ties) unique; sums are exact
+    decimals. Many rows of one value other than 0 stay in one task.
     """
-    if at_most is not None and at_most <= ONE_TASK_ROWS:
-        return _in_one_task(df, value, tie)
-    return _by_range(df, value, tie)
-
-
-def _in_one_task(df: DataFrame, value: str, tie: str) -> DataFrame:
-    by_value = Window.orderBy(F.desc_nulls_last(value))
-    row_by_row = Window.orderBy(F.desc_nulls_last(value), tie).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    amount = F.col(value).cast(EXACT)
+    keyed = df.withColumn("bucket", value_bucket(value)).withColumn(
+        "part",
+        F.when(F.coalesce(F.col(value), F.lit(0)) == 0, F.pmod(F.xxhash64(*ties), F.lit(ZERO_PARTS))).otherwise(0),
     )
+    # One row per bucket, so these windows and the broadcast are bounded at any size.
+    buckets = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("s"))
+    before = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
-    return df.select(
-        "*",
-        F.rank().over(by_value).cast("bigint").alias("rank"),
-        F.sum(value).over(row_by_row).alias("running"),
-        F.sum(value).over(everything).alias("total"),
-        F.count(F.lit(1)).over(everything).alias("row_total"),
-    )
-
-
-def _by_range(df: DataFrame, value: str, tie: str) -> DataFrame:
-    """Same result from range partitions.
-
-    The ranges follow (value, tie), so even rows that all share one value spread over
-    many. The range number is a partition id and is fixed by writing the table.
-    """
-    keyed = df.withColumn("sort_key", F.coalesce(F.col(value), F.lit(_LOWEST)))
-    ranged = written(
-        keyed.repartitionByRange(F.desc("sort_key"), F.col(tie)).withColumn(
-            "range_id", F.spark_partition_id()
-        ),
-        "ranges",
+    offsets = buckets.select(
+        "bucket",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
+        F.sum("s").over(before).alias("sum_before"),
+        F.sum("s").over(everything).alias("total"),
+        F.sum("n").over(everything).alias("row_total"),
     )
-    together = ranged.join(F.broadcast(_range_offsets(ranged, value)), "range_id")
-    within = Window.partitionBy("range_id").orderBy(F.desc("sort_key"))
+    by_value = Window.partitionBy("bucket", "part").orderBy(F.desc_nulls_last(value))
     row_by_row = (
-        Window.partitionBy("range_id")
-        .orderBy(F.desc("sort_key"), tie)
+        Window.partitionBy("bucket", "part")
+        .orderBy(F.desc_nulls_last(value), *ties)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    own_rank = F.col("rows_before") + F.rank().over(within)
-    rank = F.when(F.col("sort_key") == F.col("carried_key"), F.col("carried_rank"))
     # A sum over NULLs only is NULL, as in a plain window at the head of the list.
-    running = F.sum(value).over(row_by_row)
-    return together.select(
+    running = F.sum(amount).over(row_by_row)
+    return keyed.join(F.broadcast(offsets), "bucket").select(
         *df.columns,
-        F.coalesce(rank, own_rank).alias("rank"),
+        (F.col("rows_before") + F.rank().over(by_value)).cast("bigint").alias("rank"),
         F.coalesce(F.col("sum_before") + running, running, F.col("sum_before")).alias("running"),
         "total",
         "row_total",
     )
 
 
-def _range_offsets(ranged: DataFrame, value: str) -> DataFrame:
-    """One row per range: rows and sum before it, the totals, and the value carried over
-    from the range before with its rank. At most as many rows as shuffle partitions."""
-    levels = ranged.groupBy("range_id", "sort_key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("s")
-    )
-    ranges = levels.groupBy("range_id").agg(
-        F.sum("n").alias("n"),
-        F.sum("s").alias("s"),
-        F.max("sort_key").alias("first_key"),
-        F.min("sort_key").alias("last_key"),
-        F.min_by("n", "sort_key").alias("n_last"),
-    )
-    in_order = Window.orderBy("range_id")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    placed = ranges.select(
-        "range_id",
-        "first_key",
-        "last_key",
-        "n",
-        "n_last",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
-        F.sum("s").over(before).alias("sum_before"),
-        F.sum("s").over(everything).alias("total"),
-        F.sum("n").over(everything).alias("row_total"),
-        F.lag("last_key").over(in_order).alias("carried_key"),
-    )
-    # Where the range's last value starts in this range, its rank follows from the counts;
-    # a range that only continues the value of the one before has none of its own.
-    continues = (F.col("first_key") == F.col("last_key")) & (
-        F.col("last_key").eqNullSafe(F.col("carried_key"))
-    )
-    starts_at = F.when(
-        ~continues, F.col("rows_before") + F.col("n") - F.col("n_last") + 1
-    )
-    return placed.select(
-        "range_id",
-        "rows_before",
-        "sum_before",
-        "total",
-        "row_total",
-        "carried_key",
-        F.last(starts_at, ignorenulls=True).over(before).alias("carried_rank"),
-    )
-
-
 def percent_rank():
     """Relative rank in [0, 1] of rows from with_descending_order; 0 for a lone row."""
     others = F.nullif(F.col("row_total") - 1, F.lit(0))

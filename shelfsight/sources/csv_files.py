@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsight.model import STAGING_COLUMNS
+from shelfsight.model import MONEY, STAGING_COLUMNS
 from shelfsight.workspace import written
 
 CORRUPT = "_corrupt_record"
+# Money is parsed with more decimals than it may have, so that extra ones are seen.
+PARSED_MONEY = T.DecimalType(18, 8)
 
 
 def _file_schema(spark: SparkSession, path: str) -> T.StructType:
     """Declared types for the known headers, in the order the file has them."""
     present = spark.read.option("header", True).csv(path).columns
-    kinds = {header: kind for header, _, kind, _ in STAGING_COLUMNS}
+    kinds = {header: PARSED_MONEY if kind == MONEY else kind for header, _, kind, _ in STAGING_COLUMNS}
     missing = [header for header in kinds if header not in present]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
@@ -24,12 +26,26 @@ def _file_schema(spark: SparkSession, path: str) -> T.StructType:
     )
 
 
-def _renamed() -> list:
-    return [F.col(f"`{header}`").alias(name) for header, name, _, _ in STAGING_COLUMNS]
+def _too_fine(header: str):
+    """Whether a money value has more than two decimals or too many digits."""
+    value = F.col(f"`{header}`")
+    return value.isNotNull() & ~F.coalesce(value == value.try_cast(MONEY), F.lit(False))
+
+
+def _renamed(strict: bool) -> list:
+    out = []
+    for header, name, kind, _ in STAGING_COLUMNS:
+        value = F.col(f"`{header}`")
+        if kind == MONEY:
+            error = F.raise_error(F.concat(F.lit(f"Malformed {header}: "), value.cast("string"))).cast(MONEY)
+            value = F.when(_too_fine(header), error if strict else F.lit(None)).otherwise(value.try_cast(MONEY))
+        out.append(value.alias(name))
+    return out
 
 
 def load_staging(spark: SparkSession, path: str) -> DataFrame:
-    """Typed staging table from CSV with header; one value of the wrong type ends the load.
+    """Typed staging table from CSV with header; one value of the wrong type, money with more
+    than two decimals, or a file with other headers ends the load.
 
     Spark parses the columns a query selects; persist_star_schema selects them all, so
     no bad value gets past the load.
@@ -40,20 +56,30 @@ def load_staging(spark: SparkSession, path: str) -> DataFrame:
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(path)
-        .select(*_renamed())
+        .select(*_renamed(strict=True))
     )
 
 
 def load_staging_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Well-typed rows, and the source lines of the others. The file is parsed once."""
+    """Well-typed rows, and the source lines of the others; a line with money of more than
+    two decimals is rebuilt from its values. The file is parsed once. A file whose headers
+    differ in order from the first one's ends the load, as columns go by place."""
     schema = _file_schema(spark, path).add(CORRUPT, T.StringType())
     parsed = (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
-        .select(*_renamed(), CORRUPT)
+    )
+    fine = F.lit(False)
+    for header, _, kind, _ in STAGING_COLUMNS:
+        fine = fine | _too_fine(header) if kind == MONEY else fine
+    line = F.when(fine, F.to_csv(F.struct(*(F.col(f"`{c}`") for c in parsed.columns if c != CORRUPT))))
+    parsed = (
+        parsed.withColumn(CORRUPT, F.coalesce(F.col(CORRUPT), line))
+        .select(*_renamed(strict=False), CORRUPT)
     )
     kept = written(parsed, "parsed")
     good = kept.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)

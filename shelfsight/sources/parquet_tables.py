@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from shelfsight.functions.calendar import month_key
 from shelfsight.model import PARTITION, SCHEMAS, Tables
 from shelfsight.operators import loading
-from shelfsight.workspace import new_folder, partitions_for
+from shelfsight.workspace import discard, new_folder, partitions_for
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,6 +59,7 @@ def persist_star_schema(staging: DataFrame, folder: str) -> Tables:
     with ThreadPoolExecutor(len(jobs)) as pool:
         for job in [pool.submit(job) for job in jobs]:
             job.result()
+    discard(spark.read.schema(staging.schema).parquet(parked))
     return open_star_schema(spark, folder)
 
 

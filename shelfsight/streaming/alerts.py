@@ -1,7 +1,7 @@
 """Reorder alerts on newly arriving daily rows.
 
-New staging-shaped files are read as a stream, each (date, store, product) row once, and
-joined to a static table of reorder points from the batch suite.
+New staging-shaped files are read as a stream and joined to a static table of reorder
+points from the batch suite. However late a row arrives, its alert is written, once.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfsight import params as P
 from shelfsight.model import STAGING_SCHEMA
-from shelfsight.workspace import new_folder
+from shelfsight.workspace import exists
 
 ROW_KEY = ["txn_date", "store_id", "product_id"]
 
@@ -22,22 +22,18 @@ def daily_rows(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(STAGING_SCHEMA).parquet(folder)
 
 
-def reorder_alerts(rows: DataFrame, levels: DataFrame, late_by: str = "7 days") -> DataFrame:
+def reorder_alerts(rows: DataFrame, levels: DataFrame) -> DataFrame:
     """Rows at or below their pair's reorder point.
 
     ``levels`` holds store_id, product_id and reorder_point; give a written table, as it
-    is read again for every micro-batch. Works alike on a stream and on a batch. On a
-    stream a repeated row within ``late_by`` of its first arrival is dropped, and keys older
-    than that leave the state.
+    is read again for every micro-batch. Works alike on a stream and on a batch; a batch
+    has one alert per date and pair, the one of least stock. On a stream write_alerts
+    leaves repeated rows out.
     """
-    timed = rows.withColumn("event_time", F.col("txn_date").cast("timestamp"))
-    if rows.isStreaming:
-        once = timed.withWatermark("event_time", late_by).dropDuplicatesWithinWatermark(ROW_KEY)
-    else:
-        once = timed.dropDuplicates(ROW_KEY)
     on_hand = F.col("inventory_level")
-    return (
-        once.join(levels.select("store_id", "product_id", "reorder_point"), ["store_id", "product_id"])
+    low = (
+        rows.select(*ROW_KEY, "inventory_level")
+        .join(levels.select("store_id", "product_id", "reorder_point"), ["store_id", "product_id"])
         .filter(on_hand <= F.col("reorder_point"))
         .select(
             *ROW_KEY,
@@ -46,16 +42,40 @@ def reorder_alerts(rows: DataFrame, levels: DataFrame, late_by: str = "7 days")
             F.when(on_hand == 0, P.STOCKOUT).otherwise(P.REORDER_NOW).alias("status"),
         )
     )
+    return low if rows.isStreaming else _one_per_key(low)
+
+
+def _one_per_key(alerts: DataFrame) -> DataFrame:
+    rest = [F.min_by(c, "on_hand").alias(c) for c in ("reorder_point", "status")]
+    return alerts.groupBy(*ROW_KEY).agg(F.min("on_hand").alias("on_hand"), *rest)
 
 
 def write_alerts(alerts: DataFrame, folder: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Append alerts as Parquet until all files present are used. Give a lasting
-    ``checkpoint`` folder to continue a stream in a later run."""
-    checkpoint = checkpoint or new_folder(alerts.sparkSession, "alerts")
+    """Append alerts as Parquet until all files present are used.
+
+    An alert is left out if ``folder`` has one of the same date and pair; only files that
+    can hold the batch's dates are read for that. So repeated rows, a batch that runs
+    again after a failure, and a second call give no second alert, and no row is too late.
+    Without a ``checkpoint`` the state lies in ``folder`` itself, so that both stay
+    together.
+    """
+    schema = alerts.schema
+
+    def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = _one_per_key(batch).select(*schema.names)
+        first, last = new.agg(F.min("txn_date"), F.max("txn_date")).first()
+        if first is None:
+            return
+        if exists(spark, folder):
+            known = spark.read.schema(schema).parquet(folder)
+            known = known.filter(F.col("txn_date").between(first, last)).select(*ROW_KEY)
+            new = new.join(known, ROW_KEY, "left_anti")
+        new.write.mode("append").parquet(folder)
+
     return (
-        alerts.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
+        alerts.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint or f"{folder.rstrip('/')}/_checkpoint")
         .trigger(availableNow=True)
-        .start(folder)
+        .start()
     )

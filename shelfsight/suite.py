@@ -101,11 +101,15 @@ QUALITY: dict[str, Analysis] = {
     "v4_value_ranges": V.value_ranges,
     "v5_nulls": V.nulls,
     "v6_text_lengths": V.text_lengths,
+    "v7_dropped_rows": V.dropped_rows,
 }
 
+# Days of supply that some products of the sample tables fall below.
+REGISTERED_DAYS = 8.7
+
 RECOMMENDATIONS: dict[str, Analysis] = {
     "r1_trailing_velocity_gap": R.trailing_velocity_gap,
-    "r2_critical_class_a": R.critical_class_a,
+    "r2_critical_class_a": lambda t: R.critical_class_a(t, days=REGISTERED_DAYS),
     "r3_category_days_of_supply": R.category_days_of_supply,
 }
 
@@ -120,6 +124,10 @@ CATALOGUE: dict[str, Analysis] = {
 }
 
 
+# Analyses that read the full-history statistics per pair.
+PAIR_REPORTS = {"q3_reorder_points", "q7_stock_adjustments", "d9_action_counts", "p5_complete_domain"}
+
+
 @dataclass(frozen=True)
 class Outcome:
     name: str
@@ -132,16 +140,19 @@ def run_suite(
 ) -> list[Outcome]:
     """Write each named analysis as CSV below ``out``; an error is noted and the run goes on.
 
-    Statistics per pair, which several analyses need, are computed once and written.
+    Statistics per pair are computed and written when the first of several analyses
+    that read them comes.
     """
-    ready = replace(tables, pair_history=written(pair_stats(tables.fact), "pairs"))
-    outcomes = []
+    names, ready, outcomes = list(names), tables, []
+    shared = len(PAIR_REPORTS.intersection(names)) > 1
     for name in names:
         try:
+            if shared and name in PAIR_REPORTS and ready.pair_history is None:
+                ready = replace(tables, pair_history=written(pair_stats(tables.fact), "pairs"))
             counted = Observation(name)
             result = CATALOGUE[name](ready).observe(counted, F.count(F.lit(1)).alias("rows"))
             write_report(result, f"{out}/{name}")
             outcomes.append(Outcome(name, counted.get["rows"], None))
         except Exception as error:  # noqa: BLE001 - one failing report must not end the run
-            outcomes.append(Outcome(name, None, str(error).splitlines()[0]))
+            outcomes.append(Outcome(name, None, str(error) or type(error).__name__))
     return outcomes

@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-LARGE_PARTITION_BYTES = 1024 * 1024 * 1024
+LARGE_PARTITION_BYTES = 256 * 1024 * 1024
 SMALL_PARTITION_BYTES = 1024 * 1024
 
 
@@ -28,12 +28,13 @@ def local_session(cores: int | str = "*", app: str = "shelfsight") -> SparkSessi
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.
+    """The folder chosen by setCheckpointDir, else the one the cluster names in
+    spark.checkpoint.dir.
 
     A local master may go without and gets a temporary folder; on a cluster that would
     not be visible to every executor, so there the setting is required.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -57,6 +58,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables made by written() that nothing reads any more. Other tables are left alone."""
     for frame in frames:

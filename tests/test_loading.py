@@ -165,3 +165,26 @@ def test_csv_to_star_schema(spark, tmp_path):
     tables = persist_star_schema(load_staging(spark, path), f"file://{tmp_path}/star")
     assert tables.fact.count() == 20
     assert tables.as_of == dt.date(2023, 5, 10)
+
+
+def test_files_of_another_column_order_are_refused(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    headers = list(GOOD)
+    i, j = headers.index("Units Sold"), headers.index("Units Ordered")
+    swapped = headers.copy()
+    swapped[i], swapped[j] = swapped[j], swapped[i]
+    _write_csv(folder / "1.csv", [GOOD], headers)
+    _write_csv(folder / "2.csv", [GOOD], swapped)
+    with pytest.raises(Exception, match="(?i)header"):
+        load_staging(spark, str(folder)).collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        load_staging_with_rejects(spark, str(folder))
+
+
+def test_money_with_three_decimals_is_no_silent_loss(spark, tmp_path):
+    path = _write_csv(tmp_path / "fine.csv", [GOOD, {**GOOD, "Price": "9.999"}])
+    with pytest.raises(Exception, match="Malformed Price"):
+        load_staging(spark, path).collect()
+    good, bad = load_staging_with_rejects(spark, path)
+    assert good.count() == 1 and "9.999" in bad.first()["_corrupt_record"]

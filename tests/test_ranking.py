@@ -3,18 +3,15 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from shelfsight.plans import ranking
-from shelfsight.plans.ranking import percent_rank, with_descending_order
+from shelfsight.plans.ranking import percent_rank, value_bucket, with_descending_order
 
 COLUMNS = ["id", "value", "rank", "running", "total", "row_total", "pr"]
 
 
-def _both(df):
-    for bound in (10, None):
-        out = with_descending_order(df, "value", "id", bound).withColumn("pr", percent_rank())
-        yield sorted(out.select(*COLUMNS).collect())
+def _ordered(df):
+    out = with_descending_order(df, "value", ["id"]).withColumn("pr", percent_rank())
+    return sorted(out.select(*COLUMNS).collect())
 
 
 def _frame(spark, values):
@@ -46,20 +43,13 @@ CASES = {
 }
 
 
-@pytest.fixture(scope="module", autouse=True)
-def no_coalescing(spark):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-
-
 @pytest.mark.parametrize("case", CASES)
-def test_ranges_agree_with_one_task_and_with_counting(spark, case):
+def test_agrees_with_counting(spark, case):
     values = CASES[case]
-    one_task, by_range = _both(_frame(spark, values))
-    assert one_task == by_range
+    rows = _ordered(_frame(spark, values))
+    assert len(rows) == len(values)
     expected = _expected(values)
-    for row in by_range:
+    for row in rows:
         rank, running = expected[row.id]
         assert row.rank == rank
         assert row.running == running
@@ -67,21 +57,29 @@ def test_ranges_agree_with_one_task_and_with_counting(spark, case):
         assert row.pr == ((rank - 1) / (len(values) - 1) if len(values) > 1 else 0.0)
 
 
-def test_hot_value_is_spread_over_ranges(spark):
+def test_rows_without_revenue_are_spread(spark):
     df = _frame(spark, [0] * 3000 + list(range(1, 601)))
-    ranged = df.repartitionByRange(F.desc("value"), "id").withColumn("r", F.spark_partition_id())
-    assert ranged.filter("value = 0").select("r").distinct().count() > 3
+    physical = with_descending_order(df, "value", ["id"])._jdf.queryExecution().toString()
+    assert "hashpartitioning(bucket" in physical and "part" in physical.split("hashpartitioning(bucket")[1][:20]
+
+
+def test_planning_runs_no_job(spark):
+    df = _frame(spark, [3, 1, 2])
+    spark.sparkContext.setJobGroup("ranking-plan", "")
+    with_descending_order(df, "value", ["id"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("ranking-plan")
 
 
 def test_empty(spark):
-    assert list(_both(_frame(spark, [1]).filter("id < 0"))) == [[], []]
+    assert _ordered(_frame(spark, [1]).filter("id < 0")) == []
+
+
+def test_buckets_grow_with_the_value(spark):
+    values = sorted({s * v for s in (1, -1) for p in range(62) for v in (2**p - 1, 2**p, 2**p + 1, 3 * 2**p // 2)})
+    got = [r[0] for r in _frame(spark, values).orderBy("value").select(value_bucket("value")).collect()]
+    assert got == sorted(got) and len(set(got)) > 200
 
 
-def test_limit_decides(spark, monkeypatch):
-    calls = []
-    monkeypatch.setattr(ranking, "_by_range", lambda *a: calls.append("range"))
-    monkeypatch.setattr(ranking, "_in_one_task", lambda *a: calls.append("task"))
-    df = _frame(spark, [1])
-    for bound in (ranking.ONE_TASK_ROWS, ranking.ONE_TASK_ROWS + 1, None):
-        with_descending_order(df, "value", "id", bound)
-    assert calls == ["task", "range", "range"]
+def test_totals_beyond_a_machine_word(spark):
+    rows = _ordered(_frame(spark, [2**62] * 6))
+    assert rows[-1].running == rows[0].total == 6 * 2**62

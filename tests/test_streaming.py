@@ -29,3 +29,17 @@ def test_stream_gives_the_batch_alerts_once(spark, star, staging, tmp_path):
     assert got == _key(batch.collect())
     assert [(g[1], g[3], g[5]) for g in got] == [
         ("S1", 0, "STOCKOUT"), ("S1", 40, "REORDER NOW"), ("S1", 80, "REORDER NOW"), ("S2", 3, "REORDER NOW")]
+
+
+def test_late_first_arrivals_and_second_calls_lose_nothing(spark, star, staging, tmp_path):
+    """Files out of order, repeated rows, and calls without a checkpoint of their own."""
+    levels = written(reorder_points(star(HISTORY)), "levels")
+    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
+    for days in ([60], [20, 61], [60, 1], []):
+        rows = [{"txn_date": day(d), "store_id": s, "inventory_level": 1} for d in days for s in ("S1", "S2")]
+        if rows:
+            staging(rows).write.mode("append").parquet(inbox)
+        write_alerts(reorder_alerts(daily_rows(spark, inbox), levels), out).awaitTermination()
+        batch = reorder_alerts(spark.read.parquet(inbox), levels)
+        assert _key(spark.read.parquet(out).collect()) == _key(batch.collect())
+    assert spark.read.parquet(out).count() == 8

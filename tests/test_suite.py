@@ -20,7 +20,7 @@ def test_reports_are_written_and_errors_noted(spark, star, tmp_path, monkeypatch
     for _ in range(2):  # a second run replaces the first
         outcomes = suite.run_suite(tables, out, names)
     assert [(o.name, o.rows, o.error) for o in outcomes] == [
-        ("q3_reorder_points", 6, None), ("broken", None, "no such column"),
+        ("q3_reorder_points", 6, None), ("broken", None, "no such column\nmore"),
         ("q5_kpi_summary", 1, None), ("e1_stock_levels", 3, None)]
     report = spark.read.option("header", True).csv(f"{out}/e1_stock_levels")
     assert report.columns == ["Category", "Product ID", "Region", "Total_Current_Stock", "Avg_Daily_Stock"]
