@@ -29,6 +29,8 @@ IDENTIFIERS = (
     "1234567890123456", "4000000000000000", "====================", "--------------------", "____________________",
     "index-of-first-element", "README_BEFORE_INSTALL", "numberOfParallelTasks", "/usr/local/share/documentation",
 )
+#: Runs that mix letters and digits may be secrets that no pattern names: they are not labelled ordinary.
+MIXED = r"(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
 FIRST, SIZE = 32, 96  # printable ASCII
 
 
@@ -74,7 +76,7 @@ def log_ratios(docs: DataFrame, settings: MarkovSettings = MarkovSettings()) ->
     spark = docs.sparkSession
     least = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample_docs)
     sample = docs.join(F.broadcast(least), "doc_id", "left_semi")
-    plain = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
+    plain = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}|{MIXED}", " ")
     words = sample.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[\x21-\x7E]{2,}"), F.lit(0))).alias("word"))
     ordinary = _transitions(words.union(spark.createDataFrame([(w,) for w in IDENTIFIERS * 20], "word string")))
     random = _transitions(_random_samples(spark, settings.random_strings))
@@ -141,7 +143,7 @@ def spans(docs: DataFrame, ratios: list[int], settings: MarkovSettings = MarkovS
     frame = frame.withColumn("_base", F.expr(base))
     alone = "filter(_markov, x -> NOT exists(_base, b -> b.start < x.stop AND x.start < b.stop))"
     frame = frame.withColumn("found", F.expr(f"sort_array(concat(_base, {alone}))"))
-    return frame.drop(*(c for c in frame.columns if c.startswith("_") and c not in docs.columns))
+    return frame.select(*docs.columns, "found")
 
 
 def _written_out(which: str) -> str:
@@ -172,7 +174,9 @@ def secret_scan(docs: DataFrame, settings: MarkovSettings = MarkovSettings()) ->
 def masked(docs: DataFrame, mark: str = "[secret]", settings: MarkovSettings = MarkovSettings()) -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans become one mark. Texts without a
     span, null ones included, stay as they are."""
-    frame = spans(docs, log_ratios(docs.select("doc_id", "text"), settings), settings).withColumnRenamed("found", "_found")
+    # The row goes along whole, so that no column of it clashes with those made here.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
+    frame = spans(rows, log_ratios(docs.select("doc_id", "text"), settings), settings).withColumnRenamed("found", "_found")
     frame = frame.withColumn("_stop", F.expr("transform(_found, x -> x.stop)"))
     fold = "greatest(s, t)"
     frame = frame.withColumn("_tops", F.expr(block_folds("_stop", fold)))
@@ -188,5 +192,5 @@ def masked(docs: DataFrame, mark: str = "[secret]", settings: MarkovSettings = M
     kept = "transform(_open, y -> substring(text, y.since + 1, y.start - y.since))"
     tail = "substring(text, array_max(_stop) + 1)"
     whole = f"concat(array_join({kept}, {mark!r}), {mark!r}, {tail})"
-    frame = frame.withColumn("text", F.expr(f"CASE WHEN size(_found) > 0 THEN {whole} ELSE text END"))
-    return frame.select(*docs.columns)
+    clean = F.expr(f"CASE WHEN size(_found) > 0 THEN {whole} ELSE text END")
+    return frame.select(*(clean.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -141,7 +141,7 @@ def _chosen_words(sample: DataFrame, settings: ToxicitySettings) -> tuple[np.nda
 
 def counterfactuals(texts: list[str], known: np.ndarray, bases: np.ndarray) -> Counter:
     """(feature, other feature) of every swap of an identity term in every sentence that has one, counted."""
-    groups = [np.searchsorted(known, term_hashes(list(group))) for group in IDENTITY_TERMS]
+    groups = [_place(known, term_hashes(list(group)))[1] for group in IDENTITY_TERMS]
     group_of = {int(f): g for g, members in enumerate(groups) for f in members}
     sentences = [s for text in texts for s in text.replace("!", ".").replace("?", ".").replace("\n", ".").split(".") if s]
     out: Counter = Counter()
