@@ -11,11 +11,14 @@ from shelfsight.llm.packing import packed
 from shelfsight.llm.quality_knn import quality_scores
 from shelfsight.llm.quality_rules import quality_rules
 from shelfsight.llm.secrets import secret_scan
+from shelfsight.llm.statements import ORACLES
 from shelfsight.llm.suffix_dedup import without_repeats
 from shelfsight.llm.superminhash import near_duplicates
 from shelfsight.llm.token_files import token_index
 from shelfsight.llm.toxicity import toxicity
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -84,5 +87,3 @@ QUERIES = {
     "op10_superminhash": op10_superminhash,
     "pipeline": corpus_pipeline.run,
 }
-
-ORACLES: dict[str, str] = {}

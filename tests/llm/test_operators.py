@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -400,6 +401,20 @@ def test_every_number_has_a_query():
     assert sorted(int(m[1]) for m in numbers if m) == list(range(1, 11)) and "pipeline" in queries.QUERIES
 
 
+@needs_tables
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.01"])
+def test_same_rows_as_sql(spark, folder, name):
+    con = duckdb.connect()
+    for path in pathlib.Path(folder).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    theirs = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in theirs.description]
+    ours = queries.QUERIES[name](spark, folder)
+    assert sorted(ours.columns) == sorted(names)
+    same(ours.select(*names).collect(), theirs.fetchall())
+
+
 @needs_tables
 def test_pipeline_against_its_parts(spark):
     docs = sample(spark)
