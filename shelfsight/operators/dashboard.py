@@ -156,11 +156,15 @@ def histogram(tables: Tables, bins: int = 40) -> DataFrame:
 
     Levels are counted first and binned in whole numbers. The last bin includes the
     highest level; bins without rows count 0. A single level gets a bin range of width 1
-    around it.
+    around it. The range comes from the same counts: with ``n`` in it, column pruning
+    leaves both plans alike and the counts are shuffled once for both.
     """
     levels = _level_counts(tables).withColumn("level", F.col("level").cast("bigint"))
-    lowest = levels.agg(F.min("level")).scalar()
-    highest = levels.agg(F.max("level")).scalar()
+    extent = levels.agg(
+        F.struct(F.min("level").alias("lo"), F.max("level").alias("hi"), F.sum("n").alias("n"))
+    ).scalar()
+    lowest = extent.getField("lo")
+    highest = extent.getField("hi")
     place = F.when(F.col("width") == 0, F.lit(bins // 2)).otherwise(
         F.least(
             F.floor((F.col("level") - F.col("lo")) * bins / F.nullif("width", F.lit(0))),
@@ -201,8 +205,13 @@ def mean_median(tables: Tables) -> DataFrame:
     The block of 65,536 levels that holds the middle is found first, then the level in
     it. Levels are 32-bit integers, so neither ordered step sees more rows than that per
     block or in blocks, however many rows and levels there are.
+
+    A block is never NULL and says so, which keeps the join from adding a NULL filter to
+    one of the two uses of the counts: alike, they share one scan and shuffle.
     """
-    levels = _level_counts(tables).withColumn("block", F.shiftright("level", 16))
+    levels = _level_counts(tables).withColumn(
+        "block", F.coalesce(F.shiftright("level", 16), F.lit(0))
+    )
     blocks = levels.groupBy("block").agg(
         F.sum("n").alias("rows"), F.sum(F.col("level") * F.col("n")).alias("units")
     )

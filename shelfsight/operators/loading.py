@@ -52,14 +52,14 @@ def build_fact(staging: DataFrame, dim_region: DataFrame) -> DataFrame:
 def first_seen_products(staging: DataFrame) -> DataFrame:
     """Category and price of each product on its earliest row.
 
-    "Earliest" is the lowest date, then store, category and price. The first date per
-    product is found by a plain hash aggregation on two columns; only rows of that date
-    reach the ordered pick, so the large input is never sorted.
+    "Earliest" is the lowest date, then store, category and price. The lowest row per
+    product is picked inside each task, so one row per product and task is shuffled,
+    however many products there are. The price is a local sort of five columns. Rows
+    without a product or date are no first row.
     """
-    first_days = staging.groupBy("product_id").agg(F.min("txn_date").alias("txn_date"))
-    candidates = staging.join(first_days, ["product_id", "txn_date"]).groupBy("product_id")
-    first = F.min(F.struct("store_id", "category", "price")).alias("first")
-    return candidates.agg(first).select("product_id", "first.category", "first.price")
+    first = F.min(F.struct("txn_date", "store_id", "category", "price")).alias("first")
+    dated = staging.dropna(subset=["product_id", "txn_date"])
+    return dated.groupBy("product_id").agg(first).select("product_id", "first.category", "first.price")
 
 
 def star_from_staging(staging: DataFrame) -> Tables:

@@ -58,3 +58,25 @@ def test_pairs_use_hash_aggregation(tables):
 
     physical = plan(pair_stats(tables.fact)).split("== Physical Plan ==")[1]
     assert "SortAggregate" not in physical and "ObjectHashAggregate" not in physical
+
+
+@pytest.mark.parametrize("name", ["p6_histogram", "p7_mean_median"])
+def test_level_counts_are_shared(spark, name):
+    df = driver.queries()[name](spark, SMALL)
+    df.collect()
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    # Only plans that ran carry the number of their generated code; a reused exchange has nothing below it.
+    assert len(re.findall(r"\*\(\d+\) ColumnarToRow", executed)) == 1 and "ReusedExchange" in executed
+
+
+def test_first_seen_products_shuffle_one_row_per_product_and_task(spark, tables):
+    from shelfsight.operators.loading import first_seen_products
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        physical = plan(first_seen_products(tables.staging)).split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert physical.count("Exchange") == 1 and "Join" not in physical and physical.count("FileScan") == 1
+    assert re.search(r"Exchange.*\n.*Aggregate\(.*partial_min", physical)
