@@ -13,7 +13,7 @@ from shelfsight.llm.decontamination import decontaminated
 from shelfsight.llm.packing import packed
 from shelfsight.llm.quality_rules import quality_rules
 from shelfsight.llm.secrets import masked
-from shelfsight.llm.superminhash import near_duplicates
+from shelfsight.llm.superminhash import near_duplicate_groups
 from shelfsight.workspace import written
 
 KEY = ("doc_id", "text_hash")
@@ -33,9 +33,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least doc_id. Of repeated rows of that doc_id
-    one stays, the one of least text hash; groups without any doc_id keep one row per text."""
-    kept = _chosen(docs, near_duplicates(docs).where("kept"))
+    """One row of each group of near duplicates: the one of least doc_id, ids before nulls, then of least text hash.
+    Of equal rows of that id and text one stays. Texts without words are in no group; they keep one row per id."""
+    # A second reading of the verdicts would group once more.
+    rows = written(near_duplicate_groups(docs), "pipeline-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    heads = rows.where("comp IS NOT NULL").groupBy("comp").agg(first).select("first.doc_id", "first.text_hash")
+    kept = _chosen(docs, heads.union(rows.where("comp IS NULL").select("doc_id", "text_hash")))
     one = Window.partitionBy("doc_id", "_text_hash").orderBy(*(F.xxhash64(c) for c in docs.columns))
     return (
         kept.withColumn("_text_hash", F.xxhash64("text")).withColumn("_n", F.row_number().over(one))

@@ -176,10 +176,16 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_duplicate_groups without their names."""
+    return near_duplicate_groups(docs, percent, bands, rows).drop("comp")
+
+
+def near_duplicate_groups(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Groups of texts linked by 100 * intersection >= percent * union of their sets of five-word shingles.
 
     ``docs`` needs doc_id and text; other columns are ignored. One row per row of ``docs``: doc_id, n_shingles,
-    component_id (the least doc_id reachable over links), kept (doc_id = component_id) and text_hash. A text
+    component_id (the least doc_id reachable over links), kept (doc_id = component_id), text_hash and comp, the name
+    of the group, which tells groups of one component_id apart and is null for a text without words. A text
     that is null or has no words is linked with nothing and kept. A null doc_id never names a group of others:
     it is kept only if its whole group has no id. Repeated rows give repeated results. Empty input, empty output.
     """
@@ -216,10 +222,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     classes = classes.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = written(classes, "classes")
     heads = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    names = written(classes.join(heads, "comp").select("node", "component_id"), "names")
+    names = written(classes.join(heads, "comp").select("node", "comp", "component_id"), "names")
     result = sets.drop("bands").join(names, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return result.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash",
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "comp",
     )

@@ -430,3 +430,27 @@ def test_pipeline_against_its_parts(spark):
     assert {r.doc_id for r in clean.collect()} == heads - leaks
     safe = stages["secrets"](spark, clean, SMALL)
     assert secret_scan(safe).where("spans != ''").isEmpty() and safe.columns == docs.columns
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    words = [f"w{i}" for i in range(200)]
+
+    def edited(*at, by="x"):
+        return " ".join(by + str(i) if i in at else w for i, w in enumerate(words))
+
+    def other(seed):
+        return " ".join(f"{seed}{i}" for i in range(60))
+
+    rows = [
+        (1, edited()), (2, edited(20, 70, 120, 170)), (2, edited(20, 70, 120)),
+        (3, other("a")), (3, other("b")), (4, other("b")),  # two groups that 3 heads
+        (None, other("c")), (None, other("c") + " more"),  # near copies without ids
+        (None, other("d")), (5, other("e")), (5, other("e") + " more"), (5, other("e") + " more"), (6, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["near duplicates"](spark, df, "").collect()
+    names = collections.Counter((r.doc_id, (r.text or "").split(" ")[0]) for r in got)
+    assert names == {(1, "w0"): 1, (3, "a0"): 1, (3, "b0"): 1, (None, "c0"): 1, (None, "d0"): 1, (5, "e0"): 1, (6, ""): 1}
+    texts = [t for i, t in rows if i == 5]
+    least = spark.createDataFrame([(t,) for t in texts], "t string").orderBy(F.xxhash64("t")).first().t
+    assert [r.text for r in got if r.doc_id == 5] == [least]
