@@ -1,7 +1,7 @@
 """Quality rules: counts with fixed limits, and divergence from language references.
 
 Each text's histogram of character classes and its histogram of common words are compared with the mean
-histograms of its language, by Jensen-Shannon distance (base 2, so 0 to 1). Everything is built-in
+histograms of its declared language, by Jensen-Shannon distance (base 2, so 0 to 1). Everything is built-in
 expressions: one pass over the texts writes a few numbers per text, the rest works on those.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.workspace import written
@@ -116,37 +116,34 @@ def text_features(docs: DataFrame) -> DataFrame:
     ).drop("listed")
 
 
-def references(features: DataFrame, limits: Limits) -> dict[str, tuple[list[float], list[float]]]:
-    """Mean histograms per language over all texts long enough to be judged: at most one row per language
-    of COMMON_WORDS comes to the driver. Histograms are summed in whole millionths, so the result does not
-    depend on the order of rows."""
+def references(features: DataFrame, limits: Limits) -> DataFrame:
+    """(lang, character_reference, word_reference): mean histograms of every language that has texts long enough to
+    be judged; word_reference is null for languages without COMMON_WORDS. Histograms are summed in whole millionths,
+    so the result does not depend on the order of rows."""
     usable = features.where(
-        F.col("lang").isin(*COMMON_WORDS) & (F.col("n_chars") >= limits.min_chars)
-        & (F.col("n_words") >= limits.min_words)
+        F.col("lang").isNotNull() & (F.col("n_chars") >= limits.min_chars) & (F.col("n_words") >= limits.min_words)
     )
-    share = [
-        F.sum(F.expr(f"CAST(round(1e6 * characters[{i}] / n_chars) AS BIGINT)")).alias(f"c{i}")
-        for i in range(len(CHARACTER_CLASSES))
+    sizes = {"characters": len(CHARACTER_CLASSES), "common": len(COMMON_WORDS["en"]) + 1}
+    sums = [
+        F.sum(F.expr(f"CAST(round(1e6 * {column}[{i}] / {total}) AS BIGINT)")).alias(f"{column}{i}")
+        for column, total in (("characters", "n_chars"), ("common", "n_words"))
+        for i in range(sizes[column])
     ]
-    n_common = len(COMMON_WORDS["en"]) + 1
-    share += [
-        F.sum(F.expr(f"CAST(round(1e6 * common[{i}] / n_words) AS BIGINT)")).alias(f"w{i}") for i in range(n_common)
-    ]
-    out = {}
-    for row in usable.groupBy("lang").agg(*share).collect():
-        parts = []
-        for letter, n in (("c", len(CHARACTER_CLASSES)), ("w", n_common)):
-            values = [row[f"{letter}{i}"] for i in range(n)]
-            parts.append([v / max(sum(values), 1) for v in values])
-        out[row["lang"]] = tuple(parts)
-    return out
-
-
-def distance(p: str, q: list[float]) -> str:
-    """Jensen-Shannon distance of the histogram expression ``p`` from the constants ``q``."""
-    constants = "array(" + ", ".join(f"{v!r}D" for v in q) + ")"
+
+    def shares(column: str):
+        listed = [f"{column}{i}" for i in range(sizes[column])]
+        all_ = " + ".join(listed)
+        return F.expr(f"CASE WHEN {all_} IS NOT NULL THEN array({', '.join(f'{v} / greatest({all_}, 1)' for v in listed)}) END")
+
+    return usable.groupBy("lang").agg(*sums).select(
+        "lang", shares("characters").alias("character_reference"), shares("common").alias("word_reference")
+    )
+
+
+def distance(p: str, q: str) -> str:
+    """Jensen-Shannon distance of the histogram expression ``p`` from the expression ``q``."""
     term = "IF({0} > 0, {0} * log2({0} / ((x + y) / 2)), 0D)"
-    summed = f"aggregate(zip_with({p}, {constants}, (x, y) -> ({term.format('x')} + {term.format('y')}) / 2), 0D, (s, t) -> s + t)"
+    summed = f"aggregate(zip_with({p}, {q}, (x, y) -> ({term.format('x')} + {term.format('y')}) / 2), 0D, (s, t) -> s + t)"
     return f"round(sqrt(greatest({summed}, 0D)), 9)"
 
 
@@ -154,25 +151,17 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Counts and verdict for every row of ``docs`` (doc_id, text, lang; other columns are ignored).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, the two
-    distances and text_hash. A null text has no words and so fails the base. A text whose language is null or
-    has no reference is compared with every reference and takes the least character distance; its words are
-    not judged. A corpus without any usable text has no references, so only the base decides. Repeated rows give
-    repeated results.
+    distances and text_hash. A null text has no words and so fails the base. Every language with texts long enough
+    has a character reference. A text whose language is null or has no reference has no distances and is judged by
+    the base alone, and so are the words of languages without COMMON_WORDS. Repeated rows give repeated results.
     """
-    features = written(text_features(docs), "quality")
-    known = references(features, limits)
-    characters = _histogram("characters", "n_chars")
-    common = _histogram("common", "n_words")
-    by_character: Column = F.lit(None).cast("double")
-    by_word: Column = F.lit(None).cast("double")
-    if known:
-        least = F.array_min(F.array(*(F.expr(distance(characters, q)) for q, _ in known.values())))
-        by_character = F.coalesce(
-            *(F.when(F.col("lang") == lang, F.expr(distance(characters, q))) for lang, (q, _) in known.items()), least
-        )
-        by_word = F.coalesce(
-            *(F.when(F.col("lang") == lang, F.expr(distance(common, q))) for lang, (_, q) in known.items())
-        )
+    counted = written(text_features(docs), "quality")
+    # Written, a few rows are seen to be few, and the texts are not shuffled by language.
+    features = counted.join(written(references(counted, limits), "references"), "lang", "left")
+    by_character = F.expr(distance(_histogram("characters", "n_chars"), "character_reference"))
+    by_word = F.expr(distance(_histogram("common", "n_words"), "word_reference"))
+    by_character = F.when(F.col("character_reference").isNotNull(), by_character)
+    by_word = F.when(F.col("word_reference").isNotNull(), by_word)
     failed = (F.col("n_words") < limits.min_words_kept) | (
         100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words")
     )

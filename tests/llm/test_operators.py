@@ -283,6 +283,23 @@ def test_quality_counts_as_by_brute_force(spark, docs):
         assert got.where("kept AND base_failed").isEmpty()
 
 
+def test_languages_beyond_the_word_lists_are_judged_by_their_own_reference(spark):
+    rng = random.Random(8)
+    letters = {"ru": "абвгдежзиклмнопрст", "ko": "가나다라마바사아자차카타파하", "en": "etaoinshrdlu"}
+
+    def text(lang):
+        return " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randrange(2, 9))) for _ in range(120)) + "."
+
+    rows = [(100 * k + i, text(lang), lang) for k, lang in enumerate(letters) for i in range(15)]
+    rows += [(900, text("ru"), None), (901, "word " + " ".join(f"{i}%$#@&*{i}" for i in range(9000, 9200)), "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules(df).collect()}
+    assert all(got[100 * k + i].kept for k in (0, 1) for i in range(15)) and got[5].character_distance < 0.3
+    assert got[5].word_distance is None
+    assert got[900].kept and got[900].character_distance is None
+    assert not got[901].kept
+
+
 # --- op9 ---------------------------------------------------------------------------------
 
 
