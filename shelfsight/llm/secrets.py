@@ -120,7 +120,8 @@ def spans(docs: DataFrame, ratios: list[int], settings: MarkovSettings = MarkovS
         frame = frame.withColumn(f"_{kind}_sum", F.expr(block_folds(f"_{kind}_len", "s + t")))
     weights = f"CAST(split('{','.join(map(str, ratios))}', ',') AS ARRAY<INT>)"
     step = f"element_at({weights}, (ascii(x.c[k]) - {FIRST}) * {SIZE} + ascii(x.c[k + 1]) - {FIRST} + 1)"
-    score = f"aggregate(sequence(0, size(x.c) - 2), 0, (s, k) -> s + {step})"
+    score = f"IF(size(x.c) < 2, 0, aggregate(sequence(0, greatest(size(x.c) - 2, 0)), 0, (s, k) -> s + {step}))"
+    random = f"y.score >= {settings.total} AND y.score >= {settings.per_step} * y.steps"
     for rank, kind in enumerate(KINDS):
         stop = running(f"_{kind}_len", f"_{kind}_sum", "i", "s + t")
         made = f"transform(_{kind}_hit, (m, i) -> struct({stop} - char_length(m) AS start, {rank} AS kind, {stop} AS stop))"
@@ -131,7 +132,7 @@ def spans(docs: DataFrame, ratios: list[int], settings: MarkovSettings = MarkovS
                 f"transform(transform(_markov_hit, (m, i) -> struct(split(m, '') AS c, i AS i)), x -> "
                 f"struct({score} AS score, size(x.c) - 1 AS steps, x.i AS i))"
             )
-            good = f"filter({scored}, y -> y.score >= {settings.total} AND y.score >= {settings.per_step} * y.steps)"
+            good = f"filter({scored}, y -> {random})"
             frame = frame.withColumn("_random", F.expr(good))
             one = running("_markov_len", "_markov_sum", "y.i", "s + t")
             made = (
@@ -141,8 +142,38 @@ def spans(docs: DataFrame, ratios: list[int], settings: MarkovSettings = MarkovS
         frame = frame.withColumn(f"_{kind}", F.expr(made))
     base = "sort_array(concat(_assign, _access, _hex))"
     frame = frame.withColumn("_base", F.expr(base))
-    alone = "filter(_markov, x -> NOT exists(_base, b -> b.start < x.stop AND x.start < b.stop))"
-    frame = frame.withColumn("found", F.expr(f"sort_array(concat(_base, {alone}))"))
+    # Runs that patterns' spans cover in part are cut at those spans, and their parts are scored. Everything is bound
+    # to z once, since a filter on the result repeats a column's expression at each mention.
+    one = running("z.len", "z.sum", "i", "s + t")
+    runs = f"transform(z.hit, (m, i) -> struct({one} - char_length(m) AS start, {one} AS stop))"
+    # Runs that are a pattern's span as a whole drop out first, by hash.
+    unlike = f"array_except({runs}, transform(z.base, b -> struct(b.start AS start, b.stop AS stop)))"
+    touching = "filter(z.base, b -> b.start < r.stop AND r.start < b.stop)"
+    cut = (
+        f"filter(transform({unlike}, r -> struct(r.start AS start, r.stop AS stop, {touching} AS inner)), "
+        "r -> size(r.inner) > 0)"
+    )
+    begins = (
+        "filter(array_distinct(concat(array(r.start), transform(r.inner, b -> b.stop))), "
+        "s -> s < r.stop AND NOT exists(r.inner, b -> b.start <= s AND s < b.stop))"
+    )
+    end = "array_min(concat(array(r.stop), transform(filter(r.inner, b -> b.start > s), b -> b.start)))"
+    part = f"struct(s AS start, {end} AS stop, exists(z.markov, m -> m.start = r.start) AS of_random)"
+    parts = f"flatten(transform({cut}, r -> transform({begins}, s -> {part})))"
+    chars = "split(substring(z.text, p.start + 1, p.stop - p.start), '')"
+    scored = (
+        f"transform(transform({parts}, p -> struct(p.start AS start, p.stop AS stop, p.of_random AS of_random, {chars} AS c)), "
+        f"x -> struct(x.start AS start, x.stop AS stop, x.of_random AS of_random, {score} AS score, size(x.c) - 1 AS steps, "
+        f"exists(x.c, l -> l rlike '[A-Za-z0-9]') AS worded))"
+    )
+    good = f"(y.steps >= 15 AND {random}) OR (y.of_random AND y.worded AND y.score >= {settings.per_step} * y.steps)"
+    rest = f"transform(filter({scored}, y -> {good}), y -> struct(y.start AS start, {KINDS.index('markov')} AS kind, y.stop AS stop))"
+    alone = "filter(z.markov, x -> NOT exists(z.base, b -> b.start < x.stop AND x.start < b.stop))"
+    bound = (
+        f"array(struct(_base AS base, _markov AS markov, _markov_hit AS hit, _markov_len AS len, _markov_sum AS sum, {text} AS text))"
+    )
+    whole = f"IF(size(z.base) = 0, z.markov, sort_array(concat(z.base, {alone}, {rest})))"
+    frame = frame.withColumn("found", F.expr(f"transform({bound}, z -> {whole})[0]"))
     return frame.select(*docs.columns, "found")
 
 
@@ -155,8 +186,9 @@ def secret_scan(docs: DataFrame, settings: MarkovSettings = MarkovSettings()) ->
     """Spans of secrets in every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Returns doc_id, n_assign, n_access, n_hex, n_markov, base_sha256 and spans (kind:start:stop by start, then
-    kind). A null or empty text has no spans. Random strings are reported where no pattern's span overlaps.
-    Repeated rows give repeated results; the sample for training counts a doc_id once. Empty input, empty output.
+    kind). A null or empty text has no spans. Random strings are reported outside patterns' spans: of a run that
+    such spans cover in part, the rest is listed where it is random by itself (16 characters or more), or where the
+    whole run is random and the part reaches ``per_step``. Repeated rows give repeated results; the sample for training counts a doc_id once. Empty input, empty output.
     """
     given = docs.select(F.col("doc_id").cast("long"), "text")
     found = spans(given, log_ratios(given, settings), settings).select("doc_id", "found")
