@@ -64,11 +64,24 @@ def term_hashes(terms: list[str]) -> np.ndarray:
     return word_hashes(*text_buffer(pa.array(terms)), ALNUM, fold=True)[0]
 
 
+#: Identity terms are features as whole words only, so that a swap moves no beginning and no count.
+IDENTITY_HASHES = np.unique(term_hashes([t for group in IDENTITY_TERMS for t in group]))
+
+
+def _names_group(hashes: np.ndarray) -> np.ndarray:
+    place = np.searchsorted(IDENTITY_HASHES, hashes)
+    return IDENTITY_HASHES[np.minimum(place, len(IDENTITY_HASHES) - 1)] == hashes
+
+
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every word and of its beginnings of PREFIXES bytes, and the text of each."""
+    """Hashes of every word and of its beginnings of PREFIXES bytes, and the text of each. Identity terms give no
+    beginnings."""
     starts, ends, first = word_bounds(data, at, ALNUM)
     who, sums = owners(first), prefix_sums(data, FOLDED)
-    hashes, texts = [span_hashes(sums, starts, ends)], [who]
+    words = span_hashes(sums, starts, ends)
+    hashes, texts = [words], [who]
+    plain = ~_names_group(words)
+    starts, ends, who = starts[plain], ends[plain], who[plain]
     for n in PREFIXES:
         longer = ends - starts > n
         hashes.append(mix(span_hashes(sums, starts[longer], starts[longer] + n)))
@@ -78,7 +91,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(hashes: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature, its hash without count, text): each distinct hash of a text, and once more for each of LEVELS that
-    its count in the text reaches."""
+    its count in the text reaches; identity terms once only."""
     order = np.lexsort((hashes, who))
     hashes, who = hashes[order], who[order]
     new = np.ones(len(hashes), bool)
@@ -86,6 +99,7 @@ def counted(hashes: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(hashes)))
     base, text = hashes[at], who[at]
+    count[_names_group(base)] = 1
     out = [(base, base, text)]
     for level in LEVELS:
         some = count >= level
@@ -140,15 +154,20 @@ def _chosen_words(sample: DataFrame, settings: ToxicitySettings) -> tuple[np.nda
 
 
 def counterfactuals(texts: list[str], known: np.ndarray, bases: np.ndarray) -> Counter:
-    """(feature, other feature) of every swap of an identity term in every sentence that has one, counted."""
+    """(feature, other feature) of every swap of an identity term in every sentence that has one, counted. Where the
+    sentence has the other already, the swap only takes the feature away; the other is then -1."""
     groups = [_place(known, term_hashes(list(group)))[1] for group in IDENTITY_TERMS]
     group_of = {int(f): g for g, members in enumerate(groups) for f in members}
     sentences = [s for text in texts for s in text.replace("!", ".").replace("?", ".").replace("\n", ".").split(".") if s]
     out: Counter = Counter()
     if sentences:
-        for f in present(*text_buffer(pa.array(sentences)), known, bases)[1].tolist():
-            if f in group_of:
-                out.update((f, int(other)) for other in groups[group_of[f]] if other != f)
+        who, feature = present(*text_buffer(pa.array(sentences)), known, bases)
+        term = np.isin(feature, list(group_of))
+        found = list(zip(who[term].tolist(), feature[term].tolist(), strict=True))
+        both = set(found)
+        for t, f in found:
+            others = (int(other) for other in groups[group_of[f]] if other != f)
+            out.update((f, -1 if (t, other) in both else other) for other in others)
     return out
 
 
@@ -165,6 +184,7 @@ def fit(
     who, feature = present(*text_buffer(pa.array(texts, pa.large_string())), known, bases)
     pairs = counterfactuals(texts, known, bases)
     a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    swapped = b >= 0
     share = np.array(list(pairs.values()), float) / max(sum(pairs.values()), 1)
     x = np.zeros(size + 1)
     rate = label.mean()
@@ -175,8 +195,8 @@ def fit(
         residual = (1 / (1 + np.exp(-z)) - label) / len(rows)
         gradient = np.append(np.bincount(feature, residual[who], size), residual.sum())
         gradient[:-1] += 2 * settings.ridge * x[:-1]
-        change = 2 * settings.counterfactual * share * (x[a] - x[b])
-        gradient[:-1] += np.bincount(a, change, size) - np.bincount(b, change, size)
+        change = 2 * settings.counterfactual * share * (x[a] - np.where(swapped, x[b], 0))
+        gradient[:-1] += np.bincount(a, change, size) - np.bincount(b[swapped], change[swapped], size)
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         x -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-10)

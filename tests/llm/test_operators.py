@@ -250,6 +250,24 @@ def test_counterfactuals_even_out_identity_terms():
     assert gap[1] < 0.1 * gap[0]
 
 
+def test_swaps_move_no_beginnings_or_counts():
+    from shelfsight.llm.bytewords import text_buffer
+    from shelfsight.llm.toxicity import ToxicitySettings, counted, features, present
+
+    rows = [("Muslims and muslims are vile and rotten", 1)] * 30 + [("christians are kind", 0)] * 30 + [("vile christians", 1)] * 5
+    rows += [("christians and muslims are vile", 1)] * 5
+    feature, base, _ = counted(*features(*text_buffer(pa.array([t for t, _ in rows]))))
+    known, bases = np.unique(feature), np.unique(base)
+    gap = []
+    for weight in (0.0, 200.0):
+        model = fit(rows, known, bases, ToxicitySettings(counterfactual=weight))
+        pair = ["muslims met. Muslims talk", "christians met. christians talk"]
+        who, found = present(*text_buffer(pa.array(pair)), known, bases)
+        z = np.bincount(who, model.weights[found], 2)
+        gap.append(abs(z[0] - z[1]))
+    assert gap[1] < 0.1 * gap[0]
+
+
 # --- op6 ---------------------------------------------------------------------------------
 
 
