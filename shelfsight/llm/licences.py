@@ -1,6 +1,7 @@
 """Licence notices: a trained paragraph classifier with an unknown class, confirmed against templates.
 
-Paragraphs are lines. Features are word bigrams and trigrams that occur in the templates; a multinomial logistic
+Paragraphs are runs of lines without a blank one, read through windows of up to ``lines`` lines, single lines among
+them, so that notices are found hard-wrapped as well as beside other text. Features are word bigrams and trigrams that occur in the templates; a multinomial logistic
 regression, fitted on shortened and embedded templates and on paragraphs of the corpus as the unknown class,
 weighs them. A paragraph without any such n-gram has the unknown class's features and is not looked at further,
 so only few paragraphs are scored. The weights are a constant of bounded size, and all work is built-in
@@ -45,6 +46,7 @@ TEMPLATES = (
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc0", "To the extent possible under law, the author has dedicated this work to the public domain under CC0 1.0."),
+    ("proprietary", "All rights reserved."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced without prior written permission."),
 )
 #: Sentences about licences that grant none, labelled unknown.
@@ -65,11 +67,13 @@ COMMON = frozenset(
 @dataclass(frozen=True)
 class LicenceSettings:
     """``sample_docs`` documents of least hash give unknown paragraphs. A family counts from ``probability`` on and is
-    confirmed when a template of it shares ``share`` of the template's n-grams with the paragraph."""
+    confirmed when a template of it shares ``share`` of the template's n-grams with the paragraph. Windows have up to
+    ``lines`` lines."""
 
     sample_docs: int = 1000
     probability: float = 0.5
     share: float = 0.5
+    lines: int = 16
 
 
 def _words(text: str) -> str:
@@ -154,9 +158,9 @@ def licence_scan(docs: DataFrame, settings: LicenceSettings = LicenceSettings())
     """Licence notices in every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Returns doc_id, n_paragraphs (lines with a word), n_scored (those with an n-gram of a template), n_notices
-    (those with a confirmed family), families (confirmed ones, sorted, comma-joined) and notices
-    (line:family:probability of each, in order, lines from 0; probabilities in thousandths). Null and empty texts
-    have none. Repeated rows give repeated results; empty input gives empty output.
+    (windows of lines with a confirmed family, the shortest of those that overlap), families (confirmed ones, sorted,
+    comma-joined) and notices (first line:family:probability of each, in order, lines from 0; probabilities in
+    thousandths). A window of another family that holds a weaker notice takes its place. Null and empty texts have none. Repeated rows give repeated results; empty input gives empty output.
     """
     model = train(docs, settings)
     n = len(model.families)
@@ -183,18 +187,50 @@ def licence_scan(docs: DataFrame, settings: LicenceSettings = LicenceSettings())
         F.expr(r"CAST(size(filter(lines, l -> l rlike r'[^\x20\x09-\x0D]')) AS BIGINT)").alias("n_paragraphs"),
         F.expr(f"exists({_bigrams('all_words')}, g -> coalesce(g IN ({pairs}), false))").alias("maybe"),
         "lines",
-    ).select(
-        "doc_id", "n_paragraphs", "maybe",
+    ).select("doc_id", "n_paragraphs", F.expr("CASE WHEN maybe THEN lines ELSE array() END").alias("lines"))
+    # All words with their lines; a blank line stands as an empty word, which no n-gram spans. Dashes alone are no words.
+    line_words = f"filter({_words('l')}, w -> trim(BOTH '-' FROM w) != '')"
+    flat = (
+        rf"flatten(transform(lines, (l, i) -> IF(l rlike r'[^\x20\x09-\x0D]', transform({line_words}, w -> "
+        "struct(i AS line, w AS w)), array(struct(i AS line, '' AS w)))))"
+    )
+
+    # A word broken at its dash by a line's end is one word.
+    broken = "flat[{0}].w LIKE '%-' AND flat[{0} + 1].w != '' AND flat[{0} + 1].line > flat[{0}].line"
+    rejoined = (
+        f"filter(transform(flat, (x, k) -> struct(x.line AS line, IF(k + 1 < size(flat) AND {broken.format('k')}, "
+        f"concat(x.w, flat[k + 1].w), x.w) AS w, k > 0 AND {broken.format('(k - 1)')} AS rest)), x -> NOT x.rest)"
+    )
+
+    def grams(n: int) -> str:
+        text = ", ' ', ".join(f"flat[k + {d}].w" for d in range(n))
+        return (
+            f"IF(size(flat) < {n}, array(), filter(transform(sequence(0, greatest(size(flat) - {n}, 0)), k -> struct("
+            f"flat[k].line AS a, flat[k + {n - 1}].line AS b, concat({text}) AS g)), x -> x.g IN ({listed})))"
+        )
+
+    # Hits by first line, and where each line's begin; as many lines on, no window of the line goes further.
+    placed = words.withColumn("flat", F.expr(flat)).withColumn("flat", F.expr(rejoined)).withColumn(
+        "hits", F.expr(f"array_sort(array_distinct(concat({grams(2)}, {grams(3)})))")
+    ).drop("flat").withColumn(
+        "starts",
         F.expr(
-            f"CASE WHEN maybe THEN transform(lines, (l, i) -> struct(i AS line, {_words('l')} AS w)) ELSE array() END"
-        ).alias("words"),
+            "filter(transform(hits, (x, h) -> IF(h = 0 OR x.a != hits[greatest(h - 1, 0)].a, h, -1)), h -> h >= 0)"
+        ),
+    )
+    near = (
+        f"slice(hits, h + 1, coalesce(try_element_at(starts, p + {settings.lines + 1}), size(hits)) - h)"
     )
-    found = (
-        f"filter(transform(words, x -> struct(x.line AS line, array_distinct(filter({_grams('x.w')}, "
-        f"g -> g IN ({listed}))) AS hits)), y -> size(y.hits) > 0)"
+    whole = r"NOT exists(slice(lines, x.i + 2, greatest(y.b - x.i - 1, 0)), l -> NOT l rlike r'[^\x20\x09-\x0D]')"
+    ends = f"array_distinct(transform(filter(x.near, y -> y.b < x.i + {settings.lines} AND {whole}), y -> y.b))"
+    windows = (
+        f"flatten(transform(transform(starts, (h, p) -> struct(hits[h].a AS i, {near} AS near)), x -> transform({ends}, j -> "
+        "struct(x.i AS line, j AS stop, array_distinct(transform(filter(x.near, y -> y.b <= j), y -> y.g)) AS hits))))"
     )
-    hits = words.select(
-        "doc_id", "n_paragraphs", F.expr(f"CASE WHEN maybe THEN {found} ELSE array() END").alias("scored")
+    hits = placed.select(
+        "doc_id", "n_paragraphs",
+        F.expr("CAST(size(array_distinct(transform(filter(hits, x -> x.a = x.b), x -> x.a))) AS BIGINT)").alias("n_scored"),
+        F.expr(windows).alias("scored"),
     )
     logits = (
         f"transform(sequence(0, {n - 1}), f -> aggregate(y.hits, {bias}[f], "
@@ -205,22 +241,47 @@ def licence_scan(docs: DataFrame, settings: LicenceSettings = LicenceSettings())
         f"size(filter(y.hits, g -> array_contains(split({template_of}[g], ','), CAST(t AS STRING)))) / {sizes}[t] AS share))"
     )
     ranked = hits.select(
-        "doc_id", "n_paragraphs", F.expr("CAST(size(scored) AS BIGINT)").alias("n_scored"),
-        F.expr(f"transform(scored, y -> struct(y.line AS line, {logits} AS z, {shares} AS shares))").alias("scored"),
+        "doc_id", "n_paragraphs", "n_scored",
+        F.expr(
+            f"transform(scored, y -> struct(y.line AS line, y.stop AS stop, {logits} AS z, {shares} AS shares))"
+        ).alias("scored"),
     )
+    best = f"transform(sequence(0, {n - 1}), f -> coalesce(array_max(transform(filter(y.shares, s -> s.family = f), s -> s.share)), 0D))"
     chosen = ranked.select(
         "doc_id", "n_paragraphs", "n_scored",
         F.expr(
-            "transform(scored, y -> struct(y.line AS line, y.shares AS shares, "
+            f"transform(scored, y -> struct(y.stop AS stop, -y.line AS back, {best} AS shares, "
             "CAST(array_position(y.z, array_max(y.z)) - 1 AS INT) AS family, "
             "CAST(round(1000 / aggregate(y.z, 0D, (s, v) -> s + exp((v - array_max(y.z)) / 1000D))) AS INT) AS p))"
         ).alias("scored"),
     )
-    confirmed = chosen.select(
+    # By last line, then the shortest first.
+    good = chosen.withColumn(
+        "good",
+        F.expr(
+            f"array_sort(filter(scored, y -> y.family > 0 AND y.p >= {round(1000 * settings.probability)} AND "
+            f"y.shares[y.family] >= {settings.share}D))"
+        ),
+    ).drop("scored")
+    # Windows that hold one are among the next lines * lines; what it shares with their family tells it from a neighbour.
+    stronger = (
+        f"exists(slice(good, k + 2, {settings.lines**2}), o -> o.back >= x.back AND o.family != x.family AND "
+        f"o.shares[o.family] > x.shares[x.family] AND x.shares[o.family] >= {settings.share / 2}D)"
+    )
+    own = good.withColumn(
+        "own",
+        F.expr(
+            f"transform(filter(good, (x, k) -> NOT {stronger}), "
+            "x -> struct(CAST(-x.back AS INT) AS line, x.stop AS stop, x.family AS family, x.p AS p))"
+        ),
+    ).drop("good")
+    kind = "STRUCT<last: ARRAY<INT>, out: ARRAY<STRUCT<line: INT, stop: INT, family: INT, p: INT>>>"
+    confirmed = own.select(
         "doc_id", "n_paragraphs", "n_scored",
         F.expr(
-            f"filter(scored, y -> y.family > 0 AND y.p >= {round(1000 * settings.probability)} AND "
-            f"exists(y.shares, s -> s.family = y.family AND s.share >= {settings.share}D))"
+            f"array_sort(aggregate(own, CAST(struct(array_repeat(-1, {n}) AS last, array() AS out) AS {kind}), "
+            "(s, x) -> IF(s.last[x.family] < x.line, struct(transform(s.last, (v, f) -> IF(f = x.family, x.stop, v)) AS last, "
+            "concat(s.out, array(x)) AS out), s), s -> s.out))"
         ).alias("found"),
     )
     return confirmed.select(

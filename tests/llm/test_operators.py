@@ -157,6 +157,25 @@ def test_licences(spark, docs):
     assert all(r.n_notices == 0 for i, r in got.items() if i != 14)
 
 
+def test_short_and_wrapped_notices_of_every_family(spark):
+    import textwrap
+
+    from shelfsight.llm.licences import TEMPLATES
+
+    rows, expected = [], {}
+    for k, (family, text) in enumerate(TEMPLATES):
+        for form, lines in enumerate(([text], textwrap.wrap(text, 40), [" * " + x for x in textwrap.wrap(text, 34)])):
+            doc_id = 10 * k + form
+            rows.append((doc_id, "\n".join(["some words before", *lines, "and a line after it"])))
+            expected[doc_id] = family
+    rows += [(900, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."),
+             (901, "Released under\n\nthe MIT\n\nLicense."), (902, "The rights of all\nwere reserved for some.")]
+    got = {r.doc_id: r for r in licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = {i: got[i].notices for i, family in expected.items() if family not in got[i].families.split(",")}
+    assert wrong == {}
+    assert got[900].families == "apache-2.0,mit" and got[901].n_notices == got[902].n_notices == 0
+
+
 # --- op4 ---------------------------------------------------------------------------------
 
 ASSIGN = re.compile(
