@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from shelfsight.llm.cap_filters import near_vectors
+from shelfsight.llm.conversations import repaired_conversations
 from shelfsight.llm.decontamination import decontaminated
+from shelfsight.llm.hard_negatives import hard_negatives
 from shelfsight.llm.licences import licence_scan
 from shelfsight.llm.packing import packed
 from shelfsight.llm.quality_knn import quality_scores
@@ -74,6 +77,22 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_angular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(embeddings(spark, sf_dir))
+
+
+def op12_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(embeddings(spark, sf_dir))
+
+
 QUERIES = {
     "op1_induced_suffixes": op1_induced_suffixes,
     "op2_best_fit": op2_best_fit,
@@ -85,5 +104,8 @@ QUERIES = {
     "op8_divergence": op8_divergence,
     "op9_wavelet": op9_wavelet,
     "op10_superminhash": op10_superminhash,
+    "op11_angular": op11_angular,
+    "op12_agenda": op12_agenda,
+    "op13_cap_filters": op13_cap_filters,
     "pipeline": corpus_pipeline.run,
 }

@@ -142,9 +142,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+HARD_NEGATIVES = """
+WITH r AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS z
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+           CAST(list_inner_product(a.z, b.z) AS BIGINT) AS score
+    FROM r AS a JOIN r AS b ON a.vec_id <> b.vec_id
+    WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score
+    FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+NEAR_VECTORS = """
+WITH RECURSIVE r AS (
+    SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
+           coalesce(label IS NOT NULL AND embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+               AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS usable
+    FROM embeddings),
+links AS (
+    SELECT a.n, b.n AS m
+    FROM r AS a JOIN r AS b ON a.label = b.label AND len(a.v) = len(b.v) AND a.n <> b.n
+    WHERE a.usable AND b.usable AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reached AS (
+    SELECT n, n AS m FROM r
+    UNION
+    SELECT reached.n, links.m FROM reached JOIN links ON reached.m = links.n),
+components AS (
+    SELECT reached.n, min(r.vec_id) AS component_id FROM reached JOIN r ON r.n = reached.m GROUP BY reached.n)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.n = r.n) AS n_links, component_id,
+       vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM r JOIN components USING (n)
+"""
+
 
 ORACLES: dict[str, str] = {
     "op6_prefix_join": LEAKS,
     "op8_divergence": _quality(),
     "op10_superminhash": NEAR_DUPLICATES,
+    "op11_angular": HARD_NEGATIVES,
+    "op13_cap_filters": NEAR_VECTORS,
 }
