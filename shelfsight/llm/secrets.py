@@ -173,8 +173,9 @@ def spans(docs: DataFrame, ratios: list[int], settings: MarkovSettings = MarkovS
         f"array(struct(_base AS base, _markov AS markov, _markov_hit AS hit, _markov_len AS len, _markov_sum AS sum, {text} AS text))"
     )
     whole = f"IF(size(z.base) = 0, z.markov, sort_array(concat(z.base, {alone}, {rest})))"
-    frame = frame.withColumn("found", F.expr(f"transform({bound}, z -> {whole})[0]"))
-    return frame.select(*docs.columns, "found")
+    # A generator is a boundary: a filter on ``found`` stays above it, where its expression would otherwise be put in
+    # for every mention, and grow with each further use.
+    return frame.select(*docs.columns, F.explode(F.expr(f"transform({bound}, z -> {whole})")).alias("found"))
 
 
 def _written_out(which: str) -> str:
@@ -224,5 +225,6 @@ def masked(docs: DataFrame, mark: str = "[secret]", settings: MarkovSettings = M
     kept = "transform(_open, y -> substring(text, y.since + 1, y.start - y.since))"
     tail = "substring(text, array_max(_stop) + 1)"
     whole = f"concat(array_join({kept}, {mark!r}), {mark!r}, {tail})"
-    clean = F.expr(f"CASE WHEN size(_found) > 0 THEN {whole} ELSE text END")
-    return frame.select(*(clean.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
+    clean = F.expr(f"array(CASE WHEN size(_found) > 0 THEN {whole} ELSE text END)")
+    frame = frame.select("_row", F.explode(clean).alias("_clean"))
+    return frame.select(*(F.col("_clean" if c == "text" else f"_row.`{c}`").alias(c) for c in docs.columns))
