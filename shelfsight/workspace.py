@@ -41,7 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="shelfsight-")
     spark.sparkContext.setCheckpointDir(f"file://{folder}")
-    return f"file://{folder}"
+    # Spark adds a folder of its own to the chosen one; every call gives that.
+    return spark.sparkContext.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
