@@ -15,7 +15,7 @@ from shelfsight.model import Tables
 from shelfsight.operators.loading import table_row_counts
 from shelfsight.operators.quality import dropped_rows, violations
 from shelfsight.sources.csv_files import load_staging
-from shelfsight.sources.parquet_tables import open_star_schema, persist_star_schema
+from shelfsight.sources.parquet_tables import current_version, open_star_schema, persist_star_schema
 from shelfsight.suite import CATALOGUE, PRODUCTION, run_suite
 
 
@@ -30,6 +30,7 @@ def _arguments() -> argparse.Namespace:
     run.add_argument("star")
     run.add_argument("out")
     run.add_argument("names", nargs="*", metavar="name")
+    run.add_argument("--again", action="store_true", help="also reports already finished for the present load")
     check = commands.add_parser("check", help="count violations of the table constraints")
     check.add_argument("star")
     return parser.parse_args()
@@ -58,7 +59,8 @@ def main() -> None:
         if unknown:
             raise SystemExit(f"unknown: {', '.join(unknown)}")
         tables = open_star_schema(spark, args.star)
-        for outcome in run_suite(tables, args.out, args.names or PRODUCTION):
+        load = None if args.again else current_version(spark, args.star)
+        for outcome in run_suite(tables, args.out, args.names or PRODUCTION, resume=load):
             print(f"{outcome.name:34} {outcome.error or outcome.rows}")
     else:
         _end_on_violations(open_star_schema(spark, args.star))

@@ -1,8 +1,7 @@
 """Numeric column helpers.
 
-Sums of units, money and squares are kept in integers or decimals until the last
-projection, so they do not depend on the order in which partitions are merged. Sums of
-ratios are sums of doubles and are only rounded.
+Sums of units, money, squares and quotients are kept in integers or decimals until the last
+projection, so they do not depend on the order in which partitions are merged.
 """
 
 from __future__ import annotations
@@ -63,6 +62,32 @@ def moments(value: str, prefix: str) -> list[Column]:
     ]
 
 
+# A quotient is added up in units of 2**-30: its whole part and its rounded fraction.
+FRACTION = float(1 << 30)
+
+
+def quotient_sums(quotient: Column, prefix: str) -> list[Column]:
+    """Count and sum of a double, the sum as two bigints that add up exactly: NULL is left out."""
+    whole = F.floor(quotient)
+    fraction = F.round((quotient - whole) * F.lit(FRACTION)).cast("bigint")
+    return [
+        F.sum(whole).alias(f"{prefix}_whole"),
+        F.sum(fraction).alias(f"{prefix}_fraction"),
+        F.count(quotient).alias(f"{prefix}_n"),
+    ]
+
+
+def quotient_total(prefix: str) -> Column:
+    """The sum from merged quotient_sums, as a double."""
+    parts = F.col(f"{prefix}_whole").cast(EXACT) * F.lit(1 << 30) + F.col(f"{prefix}_fraction").cast(EXACT)
+    return as_double(parts) / F.lit(FRACTION)
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles of any size in units of 2**-30, the same in every order of rows."""
+    return as_double(F.sum(F.round(value * F.lit(FRACTION)).cast(EXACT))) / F.lit(FRACTION)
+
+
 def mean_of(prefix: str) -> Column:
     return ratio(f"{prefix}_sum", f"{prefix}_n")
 

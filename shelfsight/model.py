@@ -97,9 +97,9 @@ TEXT_LIMITS = {
 class Tables:
     """The staging table, the star schema and the flat product list.
 
-    ``fact`` carries the partition column besides its own columns. ``pair_history`` may
-    hold the full-history statistics of plans.cores.pair_stats, already written out, for
-    a run that needs them several times.
+    ``fact`` carries the partition column besides its own columns. ``pair_months`` and
+    ``day_totals`` are the written summaries of plans.summaries; without them the analyses
+    summarise staging themselves.
     """
 
     staging: DataFrame
@@ -109,7 +109,8 @@ class Tables:
     dim_region: DataFrame
     fact: DataFrame
     products: DataFrame
-    pair_history: DataFrame | None = None
+    pair_months: DataFrame | None = None
+    day_totals: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         if name == "fact_inventory_daily":

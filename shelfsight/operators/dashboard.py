@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from shelfsight import params as P
 from shelfsight.functions.calendar import month_label
 from shelfsight.functions.numeric import (
+    EXACT,
     as_double,
-    cents,
     from_cents,
     mean_of,
     percent,
@@ -23,10 +23,10 @@ from shelfsight.plans.cores import (
     advice,
     category_totals,
     pair_history,
-    revenue_cents,
     with_reorder_levels,
 )
 from shelfsight.plans.ranking import class_by
+from shelfsight.plans.summaries import fact_days, fact_months, merged
 
 
 def kpi_cards(tables: Tables, window: int = 90) -> DataFrame:
@@ -52,17 +52,11 @@ def rolling_mean(daily: DataFrame, value: str, rows: int):
 def daily_trend(tables: Tables, short: int = 7, long: int = 30) -> DataFrame:
     """Daily units, forecast and mean stock with moving means over the whole history."""
     daily = (
-        tables.fact.groupBy("txn_date")
-        .agg(
-            F.sum("units_sold").alias("units_sold"),
-            F.sum(cents("demand_forecast")).alias("planned"),
-            F.sum("inventory_level").alias("stock_sum"),
-            F.count("inventory_level").alias("stock_n"),
-        )
+        merged(fact_days(tables), ["txn_date"], "sold_sum", "planned_sum", "stock_sum", "stock_n")
         .select(
             "txn_date",
-            "units_sold",
-            as_double(from_cents("planned")).alias("forecast"),
+            F.col("sold_sum").alias("units_sold"),
+            as_double(from_cents("planned_sum")).alias("forecast"),
             mean_of("stock").alias("avg_inv"),
         )
     )
@@ -93,17 +87,15 @@ def top_products(tables: Tables, n: int = 15) -> DataFrame:
 
 
 def category_sales(tables: Tables) -> DataFrame:
-    totals = category_totals(
-        tables, [], {"earned": revenue_cents(), "units": F.sum("units_sold")}
-    )
+    totals = category_totals(tables, [], "earned", "sold_sum")
     return totals.select(
-        "category", as_double(from_cents("earned")).alias("revenue"), "units"
+        "category", as_double(from_cents("earned")).alias("revenue"), F.col("sold_sum").alias("units")
     ).orderBy(F.desc_nulls_last("revenue"), "category")
 
 
 def revenue_mix(tables: Tables) -> DataFrame:
     """Category share of revenue in percent."""
-    sales = category_totals(tables, [], {"earned": revenue_cents()})
+    sales = category_totals(tables, [], "earned")
     total = sales.agg(F.sum("earned")).scalar()
     return sales.select(
         "category",
@@ -114,14 +106,8 @@ def revenue_mix(tables: Tables) -> DataFrame:
 
 def sales_heat(tables: Tables) -> DataFrame:
     """Mean sales per category and region."""
-    totals = category_totals(
-        tables,
-        ["region_id"],
-        {"sold_sum": F.sum("units_sold"), "sold_n": F.count("units_sold")},
-    )
-    return totals.join(tables.dim_region, "region_id").select(
-        "category", "region_name", mean_of("sold").alias("avg_sales")
-    )
+    totals = category_totals(tables, ["region"], "sold_sum", "sold_n")
+    return totals.select("category", F.col("region").alias("region_name"), mean_of("sold").alias("avg_sales"))
 
 
 def pivot_category_region(tables: Tables) -> DataFrame:
@@ -247,15 +233,11 @@ def mean_median(tables: Tables) -> DataFrame:
 def forecast_vs_actual(tables: Tables) -> DataFrame:
     """Daily sales and forecast with the relative error, NULL on a day without sales."""
     daily = (
-        tables.fact.groupBy("txn_date")
-        .agg(
-            F.sum("units_sold").alias("units"),
-            F.sum(cents("demand_forecast")).alias("planned"),
-        )
+        merged(fact_days(tables), ["txn_date"], "sold_sum", "planned_sum")
         .select(
             "txn_date",
-            as_double("units").alias("sold"),
-            as_double(from_cents("planned")).alias("forecast"),
+            as_double("sold_sum").alias("sold"),
+            as_double(from_cents("planned_sum")).alias("forecast"),
         )
     )
     error = percent(F.col("forecast") - F.col("sold"), "sold")
@@ -269,8 +251,8 @@ def forecast_error_pct(tables: Tables) -> DataFrame:
 def monthly_seasonality(tables: Tables) -> DataFrame:
     """Units per calendar month over all years."""
     return (
-        tables.fact.groupBy(F.month("txn_date").alias("month"))
-        .agg(F.sum("units_sold").alias("units"))
+        fact_days(tables).groupBy(F.month("txn_date").alias("month"))
+        .agg(F.sum("sold_sum").alias("units"))
         .select("month", month_label(F.col("month")).alias("m_label"), "units")
         .orderBy("month")
     )
@@ -311,12 +293,12 @@ def complete_actions(tables: Tables) -> DataFrame:
 
 def store_performance(tables: Tables) -> DataFrame:
     return (
-        tables.fact.groupBy("store_id")
+        fact_months(tables).groupBy("store_id")
         .agg(
-            F.sum("units_sold").alias("units"),
-            revenue_cents().alias("earned"),
-            F.sum("inventory_level").alias("stock_sum"),
-            F.count("inventory_level").alias("stock_n"),
+            F.sum("sold_sum").alias("units"),
+            F.sum(F.col("earned").cast(EXACT)).alias("earned"),
+            F.sum("stock_sum").alias("stock_sum"),
+            F.sum("stock_n").alias("stock_n"),
         )
         .select(
             "store_id",

@@ -1,6 +1,6 @@
 """The exploratory suite over the flat model: daily log and first-seen product list.
 
-Every analysis reduces the log to products first and joins the product list afterwards.
+Every analysis merges the log's months to products first and joins the product list afterwards.
 Result columns keep the log's own header names.
 """
 
@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight import params as P
-from shelfsight.functions.numeric import EXACT, as_double, cents, from_cents, mean_of, ratio, round_to
-from shelfsight.model import Tables
+from shelfsight.functions.numeric import EXACT, as_double, cents, exact_sum, from_cents, mean_of, ratio, round_to
+from shelfsight.model import PARTITION, Tables
 from shelfsight.plans.ranking import class_by, percent_rank, with_descending_order
+from shelfsight.plans.summaries import days, level_names, merged, months
 
 
 def _product() -> Column:
@@ -23,12 +24,8 @@ def _category() -> Column:
     return F.col("category").alias("Category")
 
 
-def _sum_and_count(column: str, prefix: str) -> list[Column]:
-    return [F.sum(column).alias(f"{prefix}_sum"), F.count(column).alias(f"{prefix}_n")]
-
-
-def _per_product(tables: Tables, *aggregates: Column) -> DataFrame:
-    return tables.staging.groupBy("product_id").agg(*aggregates)
+def _per_product(tables: Tables, *sums: str, limit: int | None = None) -> DataFrame:
+    return merged(months(tables, limit), ["product_id"], *sums)
 
 
 def _with_category(per_product: DataFrame, tables: Tables) -> DataFrame:
@@ -37,9 +34,7 @@ def _with_category(per_product: DataFrame, tables: Tables) -> DataFrame:
 
 def stock_levels(tables: Tables, limit: int = 10) -> DataFrame:
     """Largest stock per category, product and region, summed over all days."""
-    stock = tables.staging.groupBy("product_id", "region").agg(
-        *_sum_and_count("inventory_level", "stock")
-    )
+    stock = merged(months(tables), ["product_id", "region"], "stock_sum", "stock_n")
     return (
         _with_category(stock, tables)
         .orderBy(F.desc_nulls_last("stock_sum"), "category", "product_id", "region")
@@ -56,14 +51,12 @@ def stock_levels(tables: Tables, limit: int = 10) -> DataFrame:
 
 def turnover_top(tables: Tables, limit: int = 10) -> DataFrame:
     """Products with the highest ratio of units sold to mean stock, unrounded."""
-    stats = _per_product(
-        tables, F.sum("units_sold").alias("sold"), *_sum_and_count("inventory_level", "stock")
-    ).withColumn("mean_stock", mean_of("stock"))
-    turns = F.when(F.col("mean_stock") > 0, ratio("sold", "mean_stock")).otherwise(F.lit(0.0))
+    stats = _per_product(tables, "sold_sum", "stock_sum", "stock_n").withColumn("mean_stock", mean_of("stock"))
+    turns = F.when(F.col("mean_stock") > 0, ratio("sold_sum", "mean_stock")).otherwise(F.lit(0.0))
     return (
         stats.select(
             _product(),
-            F.col("sold").alias("Total_Sold"),
+            F.col("sold_sum").alias("Total_Sold"),
             F.col("mean_stock").alias("Avg_Inventory"),
             turns.alias("Inventory_Turnover_Ratio"),
         )
@@ -74,11 +67,11 @@ def turnover_top(tables: Tables, limit: int = 10) -> DataFrame:
 
 def reorder_risk(tables: Tables, days: int = 7, limit: int = 10) -> DataFrame:
     """Best sellers whose lowest stock falls short of ``days`` of mean sales."""
-    stats = _per_product(
-        tables,
-        *_sum_and_count("units_sold", "sold"),
-        F.min("inventory_level").alias("lowest"),
-    ).withColumn("pace", mean_of("sold"))
+    stats = (
+        months(tables).groupBy("product_id")
+        .agg(F.sum("sold_sum").alias("sold_sum"), F.sum("sold_n").alias("sold_n"), F.min("lowest").alias("lowest"))
+        .withColumn("pace", mean_of("sold"))
+    )
     needed = F.col("pace") * F.lit(float(days))
     risk = F.when(F.col("lowest") < needed, P.HIGH_RISK).otherwise(P.HEALTHY)
     return (
@@ -101,22 +94,21 @@ def kpi_by_category(
 ) -> DataFrame:
     """Product count, unweighted mean of product means, units, and share of days with
     stock at or below ``threshold``, per category."""
-    low = F.when(F.col("inventory_level") <= threshold, F.lit(1))
-    products = _per_product(
-        tables,
-        F.count("txn_date").alias("days"),
-        F.count(low).alias("low_days"),
-        *_sum_and_count("inventory_level", "stock"),
-        F.sum("units_sold").alias("sold"),
+    low = level_names(threshold)[0]
+    dated = F.when(F.col(PARTITION).isNotNull(), F.col("rows")).otherwise(0)
+    products = merged(
+        months(tables, threshold).withColumn("days", dated), ["product_id"], "days", low, "stock_sum",
+        "stock_n", "sold_sum",
     ).withColumn("mean_stock", mean_of("stock"))
+    mean = exact_sum(F.col("mean_stock")) / F.nullif(F.count("mean_stock"), F.lit(0))
     return (
         _with_category(products, tables)
         .groupBy("category")
         .agg(
             F.count("product_id").alias("Total_SKUs_in_Category"),
-            round_to(F.avg("mean_stock"), 0).alias("Average_Stock_Level"),
-            F.sum("sold").alias("Total_Units_Sold"),
-            round_to(ratio(F.sum("low_days"), F.sum("days")) * 100, 2).alias(rate_name),
+            round_to(mean, 0).alias("Average_Stock_Level"),
+            F.sum("sold_sum").alias("Total_Units_Sold"),
+            round_to(ratio(F.sum(low), F.sum("days")) * 100, 2).alias(rate_name),
         )
         .withColumnRenamed("category", "Category")
         .orderBy(F.desc_nulls_last(rate_name), "Category")
@@ -134,7 +126,7 @@ def fast_vs_slow(tables: Tables, k: int = 2) -> DataFrame:
     sharing each, of which only the ``k`` outermost per end can qualify. Products are
     matched back on their total, so ties of any size stay spread out.
     """
-    totals = _with_category(_per_product(tables, F.sum("units_sold").alias("sold")), tables)
+    totals = _with_category(_per_product(tables, "sold_sum").withColumnRenamed("sold_sum", "sold"), tables)
     levels = totals.groupBy("category", "sold").agg(F.count(F.lit(1)).alias("sharing"))
 
     def outermost(order: Column, status: str, position: int) -> DataFrame:
@@ -174,11 +166,7 @@ def fast_vs_slow(tables: Tables, k: int = 2) -> DataFrame:
 def days_of_supply(tables: Tables) -> DataFrame:
     """Mean stock, mean sales and their ratio per product."""
     return (
-        _per_product(
-            tables,
-            *_sum_and_count("inventory_level", "stock"),
-            *_sum_and_count("units_sold", "sold"),
-        )
+        _per_product(tables, "stock_sum", "stock_n", "sold_sum", "sold_n")
         .select("product_id", mean_of("stock").alias("mean_stock"), mean_of("sold").alias("pace"))
         .withColumn("supply", ratio("mean_stock", "pace"))
     )
@@ -210,18 +198,13 @@ def overstock(
 
 def supply_gaps(tables: Tables, limit: int = 10) -> DataFrame:
     """Products whose orders fall furthest behind their sales."""
-    totals = _per_product(
-        tables,
-        F.sum("units_ordered").alias("ordered"),
-        F.sum("units_sold").alias("sold"),
-        *_sum_and_count("inventory_level", "stock"),
-    )
+    totals = _per_product(tables, "ordered_sum", "sold_sum", "stock_sum", "stock_n")
     return (
         totals.select(
             _product(),
-            F.col("ordered").alias("Total_Units_Ordered"),
-            F.col("sold").alias("Total_Units_Sold"),
-            (F.col("ordered") - F.col("sold")).alias("Net_Supply_Variance"),
+            F.col("ordered_sum").alias("Total_Units_Ordered"),
+            F.col("sold_sum").alias("Total_Units_Sold"),
+            (F.col("ordered_sum") - F.col("sold_sum")).alias("Net_Supply_Variance"),
             round_to(mean_of("stock"), 1).alias("Avg_Daily_Inventory"),
         )
         .orderBy(F.asc_nulls_first("Net_Supply_Variance"), "Product ID")
@@ -232,14 +215,11 @@ def supply_gaps(tables: Tables, limit: int = 10) -> DataFrame:
 def seasonality(tables: Tables) -> DataFrame:
     """Mean sales and forecast per season and promotion flag."""
     return (
-        tables.staging.groupBy("seasonality", "holiday_promotion")
-        .agg(
-            *_sum_and_count("units_sold", "sold"),
-            F.sum(cents("demand_forecast")).alias("planned"),
-            F.count("demand_forecast").alias("forecast_n"),
+        merged(
+            days(tables), ["seasonality", "holiday_promotion"], "sold_sum", "sold_n", "planned_sum", "planned_n"
         )
         .withColumn("sold", mean_of("sold"))
-        .withColumn("forecast", ratio(from_cents("planned"), "forecast_n"))
+        .withColumn("forecast", ratio(from_cents("planned_sum"), "planned_n"))
         .select(
             F.col("seasonality").alias("Seasonality"),
             F.col("holiday_promotion").alias("Holiday/Promotion"),
@@ -254,23 +234,19 @@ def seasonality(tables: Tables) -> DataFrame:
 def lost_revenue(tables: Tables, threshold: int = 50) -> DataFrame:
     """Days at or below the threshold, valued at the pace of the days above it.
 
-    One pass with conditional sums; products without days on either side drop out.
+    Products without days on either side drop out.
     """
-    sold_in_stock = F.when(F.col("inventory_level") > threshold, F.col("units_sold"))
-    low_day = F.when(F.col("inventory_level") <= threshold, F.col("txn_date"))
-    stats = _per_product(
-        tables,
-        F.count(F.when(F.col("inventory_level") > threshold, F.lit(1))).alias("healthy_days"),
-        F.sum(sold_in_stock).alias("sold_sum"),
-        F.count(sold_in_stock).alias("sold_n"),
-        F.count(F.when(F.col("inventory_level") <= threshold, F.lit(1))).alias("low_days"),
-        F.count(low_day).alias("missed"),
-    ).filter((F.col("healthy_days") > 0) & (F.col("low_days") > 0))
-    lost = as_double("missed") * mean_of("sold") * as_double("price")
+    low, high, above = level_names(threshold)
+    dated = F.when(F.col(PARTITION).isNotNull(), F.col(low)).otherwise(0)
+    stats = merged(
+        months(tables, threshold).withColumn("missed", dated), ["product_id"], high, f"{above}_sum", f"{above}_n", low,
+        "missed",
+    ).filter((F.col(high) > 0) & (F.col(low) > 0))
+    lost = as_double("missed") * mean_of(above) * as_double("price")
     return (
         stats.join(tables.products, "product_id")
         .groupBy(_category())
-        .agg(round_to(F.sum(lost), 2).alias("Estimated_Lost_Revenue"))
+        .agg(round_to(exact_sum(lost), 2).alias("Estimated_Lost_Revenue"))
         .orderBy(F.desc_nulls_last("Estimated_Lost_Revenue"), "Category")
     )
 
@@ -292,9 +268,8 @@ def abc_percentile(tables: Tables, a: float = 0.20, b: float = 0.50) -> DataFram
 def percentile_classes(tables: Tables, a: float = 0.20, b: float = 0.50) -> DataFrame:
     """Products with revenue, in hundredths, and class by percent rank of revenue at the
     first-seen price. The price is constant per product and applied to its units."""
-    units = _per_product(tables, F.sum("units_sold").alias("sold"))
-    valued = units.join(tables.products, "product_id").select(
-        "product_id", "category", (F.col("sold") * cents("price")).alias("earned")
+    valued = _per_product(tables, "sold_sum").join(tables.products, "product_id").select(
+        "product_id", "category", (F.col("sold_sum") * cents("price")).alias("earned")
     )
     ordered = with_descending_order(valued, "earned", ["product_id", "category"])
     label = class_by(percent_rank(), (a, b), P.RANK_CLASS_NAMES)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight import params as P
@@ -12,8 +14,8 @@ from shelfsight.functions.numeric import (
     cents,
     from_cents,
     mean_of,
-    moments,
     percent,
+    quotient_total,
     ratio,
     round_to,
     sample_sd_of,
@@ -26,19 +28,15 @@ from shelfsight.plans.cores import (
     pair_history,
     pair_stats,
     product_revenue,
-    revenue_cents,
     trailing,
     with_reorder_levels,
 )
 from shelfsight.plans.ranking import class_by, with_descending_order
+from shelfsight.plans.summaries import fact_days, fact_months, merged
 
 POLICY = ReorderPolicy()
 
 
-def _count_where(condition: Column) -> Column:
-    return F.count(F.when(condition, F.lit(1)))
-
-
 def current_stock_levels(tables: Tables, window: int = 30) -> DataFrame:
     """Last stock level per pair with recent demand, and the days it covers.
 
@@ -134,31 +132,23 @@ def turnover(tables: Tables, window: int = 365) -> DataFrame:
 
 
 def window_kpis(tables: Tables, window: int) -> DataFrame:
-    """Additive KPI parts of the window in one row, by way of one row per date, which
-    also makes the count of distinct dates a plain count."""
-    cover = F.when(F.col("units_sold") > 0, ratio("inventory_level", "units_sold"))
-    parts = {
-        "fact_rows": F.count(F.lit(1)),
-        "units": F.sum("units_sold"),
-        "earned": revenue_cents(),
-        "stock_sum": F.sum("inventory_level"),
-        "stock_n": F.count("inventory_level"),
-        "stockouts": _count_where(F.col("inventory_level") == 0),
-        "zero_sales": _count_where(F.col("units_sold") == 0),
-        "cover_sum": F.sum(cover),
-        "cover_n": F.count(cover),
-        "under_forecast": _count_where(F.col("units_sold") > F.col("demand_forecast")),
-    }
-    by_day = (
-        trailing(tables, window)
-        .groupBy("txn_date")
-        .agg(*[agg.alias(name) for name, agg in parts.items()])
+    """Additive KPI parts of the window in one row, from the totals per date."""
+    in_window = fact_days(tables)
+    if tables.as_of is not None:
+        start = tables.as_of - dt.timedelta(days=window)
+        in_window = in_window.filter(F.col("txn_date") >= F.lit(start))
+    parts = (
+        "rows", "sold_sum", "earned", "stock_sum", "stock_n", "stockouts", "zero_sales", "cover_whole", "cover_fraction",
+        "cover_n", "under_forecast",
     )
-    return by_day.agg(
-        F.count("txn_date").alias("days_in_window"),
-        *[F.sum(F.col(name).cast(EXACT) if name == "earned" else name).alias(name) for name in parts],
-    ).withColumns(
-        {"stock": ratio("stock_sum", "stock_n"), "revenue": as_double(from_cents("earned"))}
+    by_day = merged(in_window, ["txn_date"], *parts)
+    return (
+        by_day.agg(
+            F.count("txn_date").alias("days_in_window"),
+            *[F.sum(F.col(name).cast(EXACT) if name == "earned" else name).alias(name) for name in parts],
+        )
+        .withColumnsRenamed({"rows": "fact_rows", "sold_sum": "units"})
+        .withColumns({"stock": ratio("stock_sum", "stock_n"), "revenue": as_double(from_cents("earned"))})
     )
 
 
@@ -172,7 +162,7 @@ def kpi_summary(tables: Tables, window: int = 90) -> DataFrame:
         round_to(F.col("stock"), 1).alias("avg_stock_level"),
         round_to(percent("stockouts", "fact_rows"), 2).alias("stockout_rate_pct"),
         round_to(percent("zero_sales", "fact_rows"), 2).alias("zero_sale_rate_pct"),
-        round_to(ratio("cover_sum", "cover_n"), 1).alias("avg_days_of_cover"),
+        round_to(ratio(quotient_total("cover"), "cover_n"), 1).alias("avg_days_of_cover"),
         round_to(ratio("units", "stock"), 2).alias("turnover_90d"),
         round_to(percent("under_forecast", "fact_rows"), 2).alias("forecast_under_pct"),
     )
@@ -230,30 +220,20 @@ def stock_adjustments(tables: Tables, policy: ReorderPolicy = POLICY) -> DataFra
 
 def supplier_performance(tables: Tables) -> DataFrame:
     """Ordering behaviour per product, as a stand-in for the missing supplier data."""
-    filled = ratio("units_sold", "units_ordered")
-    off_forecast = F.abs(F.col("units_ordered").cast("bigint") * 100 - cents("demand_forecast"))
-    per_product = tables.fact.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("observation_days"),
-        *moments("units_ordered", "ordered"),
-        F.sum("units_sold").alias("sold_sum"),
-        F.count("units_sold").alias("sold_n"),
-        F.sum(cents("demand_forecast")).alias("forecast_sum"),
-        F.count("demand_forecast").alias("forecast_n"),
-        F.sum(filled).alias("filled_sum"),
-        F.count(filled).alias("filled_n"),
-        F.sum(off_forecast).alias("off_sum"),
-        F.count(off_forecast).alias("off_n"),
+    per_product = merged(
+        fact_months(tables), ["product_id"], "rows", "ordered_n", "ordered_sum", "ordered_sumsq", "sold_sum", "sold_n",
+        "planned_sum", "planned_n", "filled_whole", "filled_fraction", "filled_n", "off_sum", "off_n",
     )
     return (
         per_product.join(tables.dim_product, "product_id")
         .select(
             "product_id",
             "category",
-            "observation_days",
+            F.col("rows").alias("observation_days"),
             round_to(mean_of("ordered"), 1).alias("avg_units_ordered"),
             round_to(mean_of("sold"), 1).alias("avg_units_sold"),
-            round_to(ratio(from_cents("forecast_sum"), "forecast_n"), 1).alias("avg_forecast"),
-            round_to(mean_of("filled"), 3).alias("fill_rate_proxy"),
+            round_to(ratio(from_cents("planned_sum"), "planned_n"), 1).alias("avg_forecast"),
+            round_to(ratio(quotient_total("filled"), "filled_n"), 3).alias("fill_rate_proxy"),
             round_to(sample_sd_of("ordered"), 1).alias("order_variability"),
             round_to(ratio(from_cents("off_sum"), "off_n"), 1).alias("order_vs_forecast_mae"),
         )
@@ -297,27 +277,14 @@ def demand_forecast(
 def stockout_by_category_region(tables: Tables) -> DataFrame:
     """Rows, empty-shelf rows and mean stock and sales per category and region."""
     totals = category_totals(
-        tables,
-        ["region_id"],
-        {
-            "fact_rows": F.count(F.lit(1)),
-            "stockout_days": _count_where(F.col("inventory_level") == 0),
-            "stock_sum": F.sum("inventory_level"),
-            "stock_n": F.count("inventory_level"),
-            "sold_sum": F.sum("units_sold"),
-            "sold_n": F.count("units_sold"),
-        },
-    )
-    return (
-        totals.join(tables.dim_region, "region_id")
-        .select(
-            "category",
-            "region_name",
-            "fact_rows",
-            "stockout_days",
-            round_to(percent("stockout_days", "fact_rows"), 3).alias("stockout_rate_pct"),
-            round_to(mean_of("stock"), 1).alias("avg_inventory"),
-            round_to(mean_of("sold"), 1).alias("avg_daily_sales"),
-        )
-        .orderBy("category", F.desc_nulls_last("stockout_rate_pct"), "region_name")
+        tables, ["region"], "rows", "stockouts", "stock_sum", "stock_n", "sold_sum", "sold_n"
     )
+    return totals.select(
+        "category",
+        F.col("region").alias("region_name"),
+        F.col("rows").alias("fact_rows"),
+        F.col("stockouts").alias("stockout_days"),
+        round_to(percent("stockouts", "rows"), 3).alias("stockout_rate_pct"),
+        round_to(mean_of("stock"), 1).alias("avg_inventory"),
+        round_to(mean_of("sold"), 1).alias("avg_daily_sales"),
+    ).orderBy("category", F.desc_nulls_last("stockout_rate_pct"), "region_name")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.model import STAR_TABLES, TEXT_LIMITS, Tables
+from shelfsight.workspace import written
 
 FACT = "fact_inventory_daily"
 FACT_KEY = ("txn_date", "store_id", "product_id")
@@ -59,6 +60,14 @@ def repeated_keys(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
 
 
+def suspected_rows(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The keys of rows whose 64-bit key hash occurs more than once, among them all repeated keys. Hashes alone are
+    shuffled for all rows; the table of repeated ones is written, so that Spark knows its size when it joins."""
+    hashed = df.select(*key, F.xxhash64(*key).alias("key_hash"))
+    seen = hashed.groupBy("key_hash").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+    return hashed.join(written(seen.select("key_hash"), "key-hashes"), "key_hash", "left_semi").select(*key)
+
+
 def _key_check(df: DataFrame, table: str, key: tuple[str, ...]) -> DataFrame:
     name = f"{table}({', '.join(key)})"
     return repeated_keys(df, key).agg(F.count(F.lit(1)).alias("violations")).select(
@@ -67,8 +76,8 @@ def _key_check(df: DataFrame, table: str, key: tuple[str, ...]) -> DataFrame:
 
 
 def fact_key_unique(tables: Tables) -> DataFrame:
-    """Number of (date, store, product) keys that occur more than once."""
-    return _key_check(tables.table(FACT), FACT, FACT_KEY)
+    """Number of (date, store, product) keys that occur more than once: candidates by hash, then whole keys."""
+    return _key_check(suspected_rows(tables.fact, FACT_KEY), FACT, FACT_KEY)
 
 
 def dimension_keys_unique(tables: Tables) -> DataFrame:
@@ -93,15 +102,35 @@ def orphan_keys(tables: Tables, column: str, dimension: str, key: str) -> DataFr
 
 
 def foreign_keys(tables: Tables) -> DataFrame:
-    """Fact rows whose key has no dimension row, per foreign key."""
-    return _union(
+    """Fact rows whose key has no dimension row, per foreign key.
+
+    One scan gives all key values with their kind, counted map-side before they shuffle; they meet the keys of all
+    dimensions in one join.
+    """
+    def keys(pairs: list[tuple[int, str]]) -> Column:
+        parts = [F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in pairs]
+        return F.inline(F.array(*parts))
+
+    used = (
+        tables.fact.select(keys([(kind, column) for kind, (column, _, _) in enumerate(FOREIGN_KEYS)]))
+        .filter(F.col("value").isNotNull())
+        .groupBy("kind", "value").agg(F.count(F.lit(1)).alias("rows"))
+    )
+    known = _union(
         [
-            orphan_keys(tables, column, dimension, key)
-            .agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("violations"))
-            .select(F.lit(f"{column} -> {dimension}.{key}").alias("check"), "violations")
-            for column, dimension, key in FOREIGN_KEYS
+            tables.table(dimension).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("value"))
+            for kind, (_, dimension, key) in enumerate(FOREIGN_KEYS)
         ]
     )
+    orphans = used.join(known, ["kind", "value"], "left_anti")
+    counted = orphans.agg(
+        *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rows"))), F.lit(0)).alias(f"c{k}") for k in range(len(FOREIGN_KEYS))]
+    )
+    lines = [
+        F.struct(F.lit(f"{column} -> {dimension}.{key}").alias("check"), F.col(f"c{k}").alias("violations"))
+        for k, (column, dimension, key) in enumerate(FOREIGN_KEYS)
+    ]
+    return counted.select(F.inline(F.array(*lines)))
 
 
 def value_ranges(tables: Tables) -> DataFrame:

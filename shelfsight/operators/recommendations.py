@@ -57,16 +57,7 @@ def critical_class_a(tables: Tables, days: float = 1.5) -> DataFrame:
 
 def category_days_of_supply(tables: Tables) -> DataFrame:
     """Mean stock over mean sales per category."""
-    totals = category_totals(
-        tables,
-        [],
-        {
-            "stock_sum": F.sum("inventory_level"),
-            "stock_n": F.count("inventory_level"),
-            "sold_sum": F.sum("units_sold"),
-            "sold_n": F.count("units_sold"),
-        },
-    )
+    totals = category_totals(tables, [], "stock_sum", "stock_n", "sold_sum", "sold_n")
     return totals.select(
         "category",
         round_to(mean_of("stock"), 1).alias("avg_inventory"),

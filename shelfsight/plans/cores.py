@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.functions.numeric import EXACT, cents, mean_of, moments, sample_sd_of
+from shelfsight.functions.numeric import EXACT, mean_of, moments, sample_sd_of
 from shelfsight.model import PARTITION, Tables
 from shelfsight.params import ReorderPolicy
+from shelfsight.plans.summaries import fact_months, merged
 
 PAIR = ["store_id", "product_id"]
 
@@ -45,8 +46,13 @@ def pair_stats(rows: DataFrame) -> DataFrame:
 
 
 def pair_history(tables: Tables) -> DataFrame:
-    """pair_stats over the whole fact, or the written copy a suite run prepared."""
-    return pair_stats(tables.fact) if tables.pair_history is None else tables.pair_history
+    """pair_stats over the whole fact, merged from its months."""
+    return fact_months(tables).groupBy(*PAIR).agg(
+        F.max("last_date").alias("as_of_date"),
+        F.max_by("last_level", "last_date").alias("on_hand"),
+        F.max("peak").alias("peak_demand"),
+        *[F.sum(f"sold_{part}").alias(f"demand_{part}") for part in ("n", "sum", "sumsq")],
+    )
 
 
 def with_reorder_levels(stats: DataFrame, policy: ReorderPolicy) -> DataFrame:
@@ -77,40 +83,28 @@ def advice(on_hand: str, low: str, high: str, below: Column, above: Column, with
     )
 
 
-def revenue_cents() -> Column:
-    """Sum of units at the row's own price, in hundredths."""
-    return F.sum(F.col("units_sold").cast("bigint") * cents("price"))
-
-
 def product_revenue(tables: Tables) -> DataFrame:
     """Units and revenue, in hundredths, per product and category.
 
-    The fact is reduced to one row per product before the category is joined on, so the
+    The months are reduced to one row per product before the category is joined on, so the
     join's size is that of the product list.
     """
-    totals = tables.fact.groupBy("product_id").agg(
-        F.sum("units_sold").alias("units_sold"), revenue_cents().alias("earned")
-    )
+    totals = merged(fact_months(tables), ["product_id"], "sold_sum", "earned")
     return totals.join(tables.dim_product, "product_id").select(
-        "product_id", "category", "units_sold", "earned"
+        "product_id", "category", F.col("sold_sum").alias("units_sold"), "earned"
     )
 
 
-def category_totals(tables: Tables, extra_keys: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Sums per category and further fact keys, by way of per-product sums.
-
-    ``sums`` must hold aggregates whose parts can be added up again. Money per product fits a
-    bigint; above that it is added up as exact decimals.
-    """
+def category_totals(tables: Tables, extra_keys: list[str], *sums: str) -> DataFrame:
+    """Sums of the fact's months per category and further keys, by way of per-product sums. Money
+    per product fits a bigint; above that it is added up as exact decimals."""
 
     def part(name: str) -> Column:
         return F.col(name).cast(EXACT) if name == "earned" else F.col(name)
 
-    per_product = tables.fact.groupBy("product_id", *extra_keys).agg(
-        *[agg.alias(name) for name, agg in sums.items()]
-    )
     return (
-        per_product.join(tables.dim_product, "product_id")
+        merged(fact_months(tables), ["product_id", *extra_keys], *sums)
+        .join(tables.dim_product, "product_id")
         .groupBy("category", *extra_keys)
         .agg(*[F.sum(part(name)).alias(name) for name in sums])
     )

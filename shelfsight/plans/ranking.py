@@ -1,9 +1,9 @@
 """Rank, share and running total over one global descending order.
 
-A window without partition keys brings all rows to one task. Here the values are split
-into buckets by magnitude, each bucket is worked on by itself, and what precedes it is
-added as an offset. Buckets are a function of the value, so the plan is lazy and the same
-at every size.
+A window without partition keys brings all rows to one task. Here the rows are dealt into ranges of (value, ties) with
+bounds drawn from their distribution, so that even rows of one equal value spread over many, and written once: the
+number of a row's range is a partition, and must stay as it is. Each range is worked on by itself; a table with one row
+per range gives what precedes it.
 """
 
 from __future__ import annotations
@@ -12,26 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.functions.numeric import EXACT
-
-# Buckets per doubling of the value, and parts that rows without a value, or of value 0,
-# are dealt to; neither adds to a running sum, so their order among themselves is free.
-STEPS_BITS = 7
-ZERO_PARTS = 1024
-
-
-def value_bucket(value: str):
-    """A number that grows with the value: 128 steps per power of two, so at most 16,131
-    numbers for all of bigint and NULL, which comes lowest."""
-    size = F.abs(F.col(value))
-    power = F.length(F.bin(size)) - 1
-    step = F.when(power >= STEPS_BITS, F.expr(f"shiftright(abs({value}), length(bin(abs({value}))) - 8)")).otherwise(
-        F.expr(f"shiftleft(abs({value}), greatest(8 - length(bin(abs({value}))), 0))")
-    )
-    number = (power * 128 + step.bitwiseAND(127) + 1).cast("int")
-    return (
-        F.when(F.col(value).isNull(), -(2**31)).when(F.col(value) == 0, 0)
-        .when(F.col(value) > 0, number).otherwise(-number)
-    )
+from shelfsight.workspace import written
 
 
 def with_descending_order(df: DataFrame, value: str, ties: list[str]) -> DataFrame:
@@ -42,41 +23,70 @@ def with_descending_order(df: DataFrame, value: str, ties: list[str]) -> DataFra
     ``total`` and ``row_total``: sum of ``value`` and number of rows over all.
 
     ``value`` is a bigint, money in hundredths, and (value, *ties) unique; sums are exact
-    decimals. Many rows of one value other than 0 stay in one task.
+    decimals. ``df`` is computed once, when this is called.
     """
-    amount = F.col(value).cast(EXACT)
-    keyed = df.withColumn("bucket", value_bucket(value)).withColumn(
-        "part",
-        F.when(F.coalesce(F.col(value), F.lit(0)) == 0, F.pmod(F.xxhash64(*ties), F.lit(ZERO_PARTS))).otherwise(0),
-    )
-    # One row per bucket, so these windows and the broadcast are bounded at any size.
-    buckets = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("s"))
-    before = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    offsets = buckets.select(
-        "bucket",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
-        F.sum("s").over(before).alias("sum_before"),
-        F.sum("s").over(everything).alias("total"),
-        F.sum("n").over(everything).alias("row_total"),
+    order = [F.desc_nulls_last(value), *[F.asc_nulls_first(c) for c in ties]]
+    ranged = written(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range_id", F.spark_partition_id()),
+        "ranges",
     )
-    by_value = Window.partitionBy("bucket", "part").orderBy(F.desc_nulls_last(value))
+    amount = F.col(value).cast(EXACT)
+    within = Window.partitionBy("range_id").orderBy(F.desc_nulls_last(value))
     row_by_row = (
-        Window.partitionBy("bucket", "part")
-        .orderBy(F.desc_nulls_last(value), *ties)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("range_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     # A sum over NULLs only is NULL, as in a plain window at the head of the list.
     running = F.sum(amount).over(row_by_row)
-    return keyed.join(F.broadcast(offsets), "bucket").select(
+    continued = F.col(value).eqNullSafe(F.col("carried_value")) & F.col("carried_rank").isNotNull()
+    rank = F.when(continued, F.col("carried_rank")).otherwise(F.col("rows_before") + F.rank().over(within))
+    return ranged.join(_range_offsets(ranged, value), "range_id").select(
         *df.columns,
-        (F.col("rows_before") + F.rank().over(by_value)).cast("bigint").alias("rank"),
+        rank.cast("bigint").alias("rank"),
         F.coalesce(F.col("sum_before") + running, running, F.col("sum_before")).alias("running"),
         "total",
         "row_total",
     )
 
 
+def _range_offsets(ranged: DataFrame, value: str) -> DataFrame:
+    """One row per range, of which there are as many as shuffle partitions: rows and sum before it, the totals, and the
+    last value of the range before with that value's rank."""
+    # The value at a range's end is its least, NULL lowest of all.
+    least = F.when(F.count(F.lit(1)) == F.count(value), F.min(value))
+    ranges = ranged.groupBy("range_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col(value).cast(EXACT)).alias("s"),
+        F.max(value).alias("first_value"),
+        least.alias("last_value"),
+    )
+    last = ranges.select("range_id", "last_value")
+    n_last = (
+        ranged.join(last, "range_id").where(F.col(value).eqNullSafe(F.col("last_value")))
+        .groupBy("range_id").agg(F.count(F.lit(1)).alias("n_last"))
+    )
+    in_order = Window.partitionBy(F.lit(0)).orderBy("range_id")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(F.lit(0))
+    placed = ranges.join(n_last, "range_id").select(
+        "range_id", "first_value", "last_value", "n", "n_last",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
+        F.sum("s").over(before).alias("sum_before"),
+        F.sum("s").over(everything).alias("total"),
+        F.sum("n").over(everything).alias("row_total"),
+        F.lag("last_value").over(in_order).alias("carried_value"),
+        F.lag("range_id").over(in_order).isNotNull().alias("follows"),
+    )
+    # The rank of a range's last value follows from the counts where the value starts in the range; a range that only
+    # continues the value of the one before has none of its own.
+    only_one = F.col("first_value").eqNullSafe(F.col("last_value"))
+    continues = only_one & F.col("follows") & F.col("last_value").eqNullSafe(F.col("carried_value"))
+    starts_at = F.when(~continues, F.col("rows_before") + F.col("n") - F.col("n_last") + 1)
+    return placed.select(
+        "range_id", "rows_before", "sum_before", "total", "row_total", "carried_value",
+        F.last(starts_at, ignorenulls=True).over(before).alias("carried_rank"),
+    )
+
+
 def percent_rank():
     """Relative rank in [0, 1] of rows from with_descending_order; 0 for a lone row."""
     others = F.nullif(F.col("row_total") - 1, F.lit(0))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, replace
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -15,9 +18,8 @@ from shelfsight.operators import loading as L
 from shelfsight.operators import production as Q
 from shelfsight.operators import quality as V
 from shelfsight.operators import recommendations as R
-from shelfsight.plans.cores import pair_stats
 from shelfsight.sources.csv_files import write_report
-from shelfsight.workspace import written
+from shelfsight.workspace import exists, read_text, replace_text
 
 Analysis = Callable[[Tables], DataFrame]
 
@@ -124,10 +126,6 @@ CATALOGUE: dict[str, Analysis] = {
 }
 
 
-# Analyses that read the full-history statistics per pair.
-PAIR_REPORTS = {"q3_reorder_points", "q7_stock_adjustments", "d9_action_counts", "p5_complete_domain"}
-
-
 @dataclass(frozen=True)
 class Outcome:
     name: str
@@ -135,24 +133,58 @@ class Outcome:
     error: str | None
 
 
+#: Analyses with one row, or a row per category, day, month, action or the like: their report is a single file.
+SINGLE_FILE = {
+    "q5_kpi_summary", "q10_stockout_by_category_region", *(name for name in EXPLORATORY if name != "e6_fast_vs_slow"),
+    "d1_kpi_cards", "d2_daily_trend", "d4_category_sales", "d5_heat", "d7_forecast_vs_actual", "d8_monthly_seasonality",
+    "d9_action_counts", "p1_rolling_mean", "p2_forecast_error_pct", "p3_pivot_category_region", "p4_pivot_abc",
+    "p5_complete_domain", "p6_histogram", "p7_mean_median", "p8_top_products", "p9_revenue_mix", "p10_high_risk",
+    "p11_fast_slow_extremes", "p12_season_label", "p13_top_products_millions", "p13_monthly_thousands",
+    "l2_staging_row_count", "l6_dim_region", "l8_table_row_counts", "l12_profile", "l12_first_rows",
+    *QUALITY, "r3_category_days_of_supply",
+}
+RECORDS = "_finished"
+
+
 def run_suite(
-    tables: Tables, out: str, names: Iterable[str] = tuple(PRODUCTION)
+    tables: Tables,
+    out: str,
+    names: Iterable[str] = tuple(PRODUCTION),
+    at_once: int = 4,
+    resume: str | None = None,
 ) -> list[Outcome]:
     """Write each named analysis as CSV below ``out``; an error is noted and the run goes on.
 
-    Statistics per pair are computed and written when the first of several analyses
-    that read them comes.
+    ``at_once`` reports are worked on side by side, each in a scheduler pool of its own name. A report whose rows are
+    bounded by its meaning is one file ``<name>.csv``, any other a folder ``<name>`` of part files.
+
+    With ``resume``, a name for the state of the tables such as their version, a record is written per finished
+    report, and a later run with the same name leaves finished reports as they are. Outcomes come in order of ``names``.
     """
-    names, ready, outcomes = list(names), tables, []
-    shared = len(PAIR_REPORTS.intersection(names)) > 1
-    for name in names:
+    spark, names = tables.fact.sparkSession, list(names)
+    tables.as_of  # noqa: B018 - read once, not by every report at the same time
+
+    def report(name: str) -> Outcome:
+        record = f"{out}/{RECORDS}/{name}"
         try:
-            if shared and name in PAIR_REPORTS and ready.pair_history is None:
-                ready = replace(tables, pair_history=written(pair_stats(tables.fact), "pairs"))
+            if resume is not None and exists(spark, record):
+                state, rows = json.loads(read_text(spark, record))
+                if state == resume:
+                    return Outcome(name, rows, None)
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
             counted = Observation(name)
-            result = CATALOGUE[name](ready).observe(counted, F.count(F.lit(1)).alias("rows"))
-            write_report(result, f"{out}/{name}")
-            outcomes.append(Outcome(name, counted.get["rows"], None))
+            result = CATALOGUE[name](tables).observe(counted, F.count(F.lit(1)).alias("rows"))
+            write_report(result, f"{out}/{name}", name in SINGLE_FILE)
+            rows = counted.get["rows"]
+            if resume is not None:
+                replace_text(spark, record, json.dumps([resume, rows]))
+            return Outcome(name, rows, None)
         except Exception as error:  # noqa: BLE001 - one failing report must not end the run
-            outcomes.append(Outcome(name, None, str(error) or type(error).__name__))
-    return outcomes
+            return Outcome(name, None, str(error) or type(error).__name__)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        # Wrapped anew for each report: a wrapper holds one copy of the caller's local properties.
+        running = [pool.submit(inheritable_thread_target(spark)(report), name) for name in names]
+        return [outcome.result() for outcome in running]

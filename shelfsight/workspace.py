@@ -59,9 +59,80 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop_path = _file_system(spark, path)
+    return fs.exists(hadoop_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _file_system(spark, path)
+    fs.delete(hadoop_path, True)
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names of files and folders right below ``folder``; none if it is missing."""
+    fs, hadoop_path = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path)) if fs.exists(hadoop_path) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file whole."""
+    fs, hadoop_path = _file_system(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file beside ``path`` and renames it over it: readers see the old text or the new."""
+    new = f"{path}.{uuid.uuid4().hex}.tmp"
+    fs, hadoop_path = _file_system(spark, new)
+    stream = fs.create(hadoop_path, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    replace_file(spark, new, path)
+
+
+def replace_file(spark: SparkSession, new: str, path: str) -> None:
+    """Renames a file over ``path``."""
+    jvm = spark._jvm
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    overwrite = jvm.java.lang.reflect.Array.newInstance(kind, 1)
+    overwrite[0] = jvm.java.lang.Enum.valueOf(kind, "OVERWRITE")
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (new, path))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(source, target, overwrite)
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The file, the files right below the folder, or those of all that match the pattern; hidden ones are left out."""
+    fs, hadoop_path = _file_system(spark, path)
+    found = fs.globStatus(hadoop_path)
+    if not found:
+        raise FileNotFoundError(path)
+    below = [s for status in found for s in ([status] if status.isFile() else fs.listStatus(status.getPath()))]
+    return sorted(s.getPath().toString() for s in below if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """First line of a text file, unpacked if its name says that it is compressed; None if it is empty."""
+    fs, hadoop_path = _file_system(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
+            spark._jsc.hadoopConfiguration()
+        ).getCodec(hadoop_path)
+        data = codec.createInputStream(stream) if codec is not None else stream
+        return spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(data, "UTF-8")).readLine()
+    finally:
+        stream.close()
 
 
 def discard(*frames: DataFrame) -> None:
@@ -71,13 +142,11 @@ def discard(*frames: DataFrame) -> None:
         own = f"/shelfsight/{spark.sparkContext.applicationId}/"
         for folder in {os.path.dirname(path) for path in frame.inputFiles()}:
             if own in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                delete(spark, folder)
 
 
 def _summary(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, hadoop_path = _file_system(spark, path)
     return fs.getContentSummary(hadoop_path), fs.getFileStatus(hadoop_path)
 
 

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from shelfsight.plans.ranking import percent_rank, value_bucket, with_descending_order
+from shelfsight.plans.ranking import percent_rank, with_descending_order
+from shelfsight.workspace import written
 
 COLUMNS = ["id", "value", "rank", "running", "total", "row_total", "pr"]
 
@@ -57,29 +58,49 @@ def test_agrees_with_counting(spark, case):
         assert row.pr == ((rank - 1) / (len(values) - 1) if len(values) > 1 else 0.0)
 
 
-def test_rows_without_revenue_are_spread(spark):
-    df = _frame(spark, [0] * 3000 + list(range(1, 601)))
-    physical = with_descending_order(df, "value", ["id"])._jdf.queryExecution().toString()
-    assert "hashpartitioning(bucket" in physical and "part" in physical.split("hashpartitioning(bucket")[1][:20]
-
-
-def test_planning_runs_no_job(spark):
-    df = _frame(spark, [3, 1, 2])
-    spark.sparkContext.setJobGroup("ranking-plan", "")
-    with_descending_order(df, "value", ["id"])
-    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("ranking-plan")
+@pytest.mark.parametrize("values", [[7] * 20_000, [0] * 19_000 + list(range(1000)), [None] * 20_000, list(range(20_000))])
+def test_no_range_is_much_larger_than_the_others(spark, monkeypatch, values):
+    from shelfsight.plans import ranking
+
+    ranged = []
+
+    def kept(df, label):
+        ranged.append(written(df, label))
+        return ranged[-1]
+
+    monkeypatch.setattr(ranking, "written", kept)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = _frame(spark, values)
+        out = with_descending_order(rows, "value", ["id"])
+        sizes = sorted(r["count"] for r in ranged[0].groupBy("range_id").count().collect())
+        assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        ranks = {r.id: (r.rank, r.running) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected, running, rank = {}, None, 0
+    for place, i in enumerate(sorted(range(len(values)), key=lambda i: (values[i] is None, -(values[i] or 0), i))):
+        running = running if values[i] is None else (running or 0) + values[i]
+        rank = rank if place and values[i] == before else place + 1
+        before = values[i]
+        expected[i] = rank, running
+    assert ranks == expected
+
+
+def test_input_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = _frame(spark, list(range(100)))
+    counted = spark.createDataFrame(rows.rdd.map(lambda r: (seen.add(1), tuple(r))[1]), rows.schema)
+    out = with_descending_order(counted.groupBy("id").agg({"value": "max"}).toDF("id", "value"), "value", ["id"])
+    out.collect()
+    out.count()
+    assert seen.value == 100
 
 
 def test_empty(spark):
     assert _ordered(_frame(spark, [1]).filter("id < 0")) == []
 
 
-def test_buckets_grow_with_the_value(spark):
-    values = sorted({s * v for s in (1, -1) for p in range(62) for v in (2**p - 1, 2**p, 2**p + 1, 3 * 2**p // 2)})
-    got = [r[0] for r in _frame(spark, values).orderBy("value").select(value_bucket("value")).collect()]
-    assert got == sorted(got) and len(set(got)) > 200
-
-
 def test_totals_beyond_a_machine_word(spark):
     rows = _ordered(_frame(spark, [2**62] * 6))
     assert rows[-1].running == rows[0].total == 6 * 2**62

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import threading
+
 import pytest
 from conftest import day
 
@@ -22,18 +24,62 @@ def test_reports_are_written_and_errors_noted(spark, star, tmp_path, monkeypatch
     assert [(o.name, o.rows, o.error) for o in outcomes] == [
         ("q3_reorder_points", 6, None), ("broken", None, "no such column\nmore"),
         ("q5_kpi_summary", 1, None), ("e1_stock_levels", 3, None)]
-    report = spark.read.option("header", True).csv(f"{out}/e1_stock_levels")
+    assert sorted(p.name for p in (tmp_path / "reports").iterdir() if not p.name.startswith(".")) == [
+        "e1_stock_levels.csv", "q3_reorder_points", "q5_kpi_summary.csv"]
+    assert (tmp_path / "reports/e1_stock_levels.csv").is_file()
+    report = spark.read.option("header", True).csv(f"{out}/e1_stock_levels.csv")
     assert report.columns == ["Category", "Product ID", "Region", "Total_Current_Stock", "Avg_Daily_Stock"]
     assert report.count() == 3
 
 
-def test_prepared_pairs_change_nothing(spark, star, tmp_path):
-    tables, out = star(ROWS), f"file://{tmp_path}/r"
-    suite.run_suite(tables, out, ["q7_stock_adjustments"])
-    got = spark.read.option("header", True).csv(f"{out}/q7_stock_adjustments")
-    direct = suite.CATALOGUE["q7_stock_adjustments"](tables)
-    assert sorted(map(tuple, got.select(*[got[c].cast(t) for c, t in direct.dtypes]).collect())) == sorted(
-        map(tuple, direct.collect()))
+def test_a_second_run_does_what_is_missing(spark, star, tmp_path, monkeypatch):
+    ran, failing = [], {"second"}
+
+    def named(name):
+        def analysis(tables):
+            ran.append(name)
+            if name in failing:
+                raise ValueError("out of space")
+            return tables.fact.select("store_id")
+
+        return analysis
+
+    names = ["first", "second", "third"]
+    for name in names:
+        monkeypatch.setitem(suite.CATALOGUE, name, named(name))
+    tables, out = star(ROWS), f"file://{tmp_path}/again"
+    got = suite.run_suite(tables, out, names, resume="load 1")
+    assert [(o.rows, o.error) for o in got] == [(120, None), (None, "out of space"), (120, None)]
+    ran.clear()
+    failing.clear()
+    got = suite.run_suite(tables, out, names, resume="load 1")
+    assert ran == ["second"] and [(o.rows, o.error) for o in got] == [(120, None)] * 3
+    ran.clear()
+    suite.run_suite(tables, out, names, resume="load 2")
+    assert sorted(ran) == sorted(names)
+    ran.clear()
+    suite.run_suite(tables, out, names)
+    assert sorted(ran) == sorted(names)
+
+
+def test_reports_overlap(spark, star, tmp_path, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+    pools = []
+
+    def waits(tables):
+        both.wait()
+        pools.append(spark.sparkContext.getLocalProperty("spark.scheduler.pool"))
+        return tables.fact.select("store_id")
+
+    for name in ("one", "two"):
+        monkeypatch.setitem(suite.CATALOGUE, name, waits)
+    got = suite.run_suite(star(ROWS), f"file://{tmp_path}/both", ["one", "two"], at_once=2)
+    assert [o.error for o in got] == [None, None] and sorted(pools) == ["one", "two"]
+
+
+@pytest.mark.parametrize("name", sorted(suite.SINGLE_FILE))
+def test_single_files_are_of_known_reports(name):
+    assert name in suite.CATALOGUE
 
 
 def test_shared_folder_is_the_named_one(spark):
