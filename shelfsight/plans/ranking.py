@@ -2,13 +2,13 @@
 
 A window without partition keys brings all rows to one task. Here the rows are dealt into ranges of (value, ties) with
 bounds drawn from their distribution, so that even rows of one equal value spread over many, and written once: the
-number of a row's range is a partition, and must stay as it is. Each range is worked on by itself; a table with one row
-per range gives what precedes it.
+number of a row's range is a partition, and must stay as it is. Each range is worked on by itself; what precedes it
+comes from one row per range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.functions.numeric import EXACT
@@ -26,65 +26,58 @@ def with_descending_order(df: DataFrame, value: str, ties: list[str]) -> DataFra
     decimals. ``df`` is computed once, when this is called.
     """
     order = [F.desc_nulls_last(value), *[F.asc_nulls_first(c) for c in ties]]
+    # The id of a row of a sorted partition holds the partition's number and the row's place in it.
     ranged = written(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range_id", F.spark_partition_id()),
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()),
         "ranges",
     )
-    amount = F.col(value).cast(EXACT)
-    within = Window.partitionBy("range_id").orderBy(F.desc_nulls_last(value))
-    row_by_row = (
-        Window.partitionBy("range_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    offsets, rows, total = _range_offsets(ranged, value)
+
+    def of_range(item: int, kind: str) -> str:
+        texts = ", ".join(f"{n}L, {'NULL' if line[item] is None else line[item]}" for n, line in offsets.items())
+        return f"CAST(map({texts})[{RANGE}] AS {kind})"
+
+    amount, by_range = f"CAST({value} AS {EXACT})", f"PARTITION BY {RANGE} ORDER BY {value} DESC NULLS LAST"
+    running = f"SUM({amount}) OVER (PARTITION BY {RANGE} ORDER BY place ROWS UNBOUNDED PRECEDING)"
+    rank = f"{of_range(0, 'BIGINT')} + RANK() OVER ({by_range})"
+    if any(line[3] is not None for line in offsets.values()):
+        carried = of_range(3, "BIGINT")
+        rank = f"IF({carried} IS NOT NULL AND {value} <=> {of_range(2, 'BIGINT')}, {carried}, {rank})"
+    before = of_range(1, EXACT)
     # A sum over NULLs only is NULL, as in a plain window at the head of the list.
-    running = F.sum(amount).over(row_by_row)
-    continued = F.col(value).eqNullSafe(F.col("carried_value")) & F.col("carried_rank").isNotNull()
-    rank = F.when(continued, F.col("carried_rank")).otherwise(F.col("rows_before") + F.rank().over(within))
-    return ranged.join(_range_offsets(ranged, value), "range_id").select(
-        *df.columns,
-        rank.cast("bigint").alias("rank"),
-        F.coalesce(F.col("sum_before") + running, running, F.col("sum_before")).alias("running"),
-        "total",
-        "row_total",
+    return ranged.selectExpr(
+        *(f"`{c}`" for c in df.columns),
+        f"{rank} AS rank",
+        f"COALESCE({before} + {running}, {running}, {before}) AS running",
+        f"CAST({'NULL' if total is None else total} AS {EXACT}) AS total",
+        f"{rows}L AS row_total",
     )
 
 
-def _range_offsets(ranged: DataFrame, value: str) -> DataFrame:
-    """One row per range, of which there are as many as shuffle partitions: rows and sum before it, the totals, and the
-    last value of the range before with that value's rank."""
-    # The value at a range's end is its least, NULL lowest of all.
-    least = F.when(F.count(F.lit(1)) == F.count(value), F.min(value))
-    ranges = ranged.groupBy("range_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col(value).cast(EXACT)).alias("s"),
-        F.max(value).alias("first_value"),
-        least.alias("last_value"),
-    )
-    last = ranges.select("range_id", "last_value")
-    n_last = (
-        ranged.join(last, "range_id").where(F.col(value).eqNullSafe(F.col("last_value")))
-        .groupBy("range_id").agg(F.count(F.lit(1)).alias("n_last"))
-    )
-    in_order = Window.partitionBy(F.lit(0)).orderBy("range_id")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
-    placed = ranges.join(n_last, "range_id").select(
-        "range_id", "first_value", "last_value", "n", "n_last",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
-        F.sum("s").over(before).alias("sum_before"),
-        F.sum("s").over(everything).alias("total"),
-        F.sum("n").over(everything).alias("row_total"),
-        F.lag("last_value").over(in_order).alias("carried_value"),
-        F.lag("range_id").over(in_order).isNotNull().alias("follows"),
-    )
-    # The rank of a range's last value follows from the counts where the value starts in the range; a range that only
-    # continues the value of the one before has none of its own.
-    only_one = F.col("first_value").eqNullSafe(F.col("last_value"))
-    continues = only_one & F.col("follows") & F.col("last_value").eqNullSafe(F.col("carried_value"))
-    starts_at = F.when(~continues, F.col("rows_before") + F.col("n") - F.col("n_last") + 1)
-    return placed.select(
-        "range_id", "rows_before", "sum_before", "total", "row_total", "carried_value",
-        F.last(starts_at, ignorenulls=True).over(before).alias("carried_rank"),
+#: Number of the range of a row, and the row's place in it, from the written id.
+RANGE = "shiftright(place, 33)"
+PLACE = "(place & 8589934591L)"
+
+
+def _range_offsets(ranged: DataFrame, value: str) -> tuple[dict[int, tuple], int, int | None]:
+    """For each range the rows and the sum before it, the last value of the ranges before, and that value's rank; rows
+    and sum of all. One row per range comes to the driver, of which there are as many as shuffle partitions."""
+    lines = ranged.groupBy(F.expr(RANGE).alias("range_id")).agg(
+        F.expr("count(*)").alias("n"),
+        F.expr(f"sum(CAST({value} AS {EXACT}))").alias("s"),
+        # The range's last value and where it begins; NULL lies behind all others.
+        F.expr(f"min(struct({value} IS NOT NULL AS known, {value} AS value, {PLACE} AS at))").alias("last"),
     )
+    offsets, rows, total, last, rank = {}, 0, None, None, None
+    for line in sorted(lines.collect(), key=lambda x: x["range_id"]):
+        offsets[line["range_id"]] = rows, total, last, rank
+        # A range that only continues the value of the one before has no rank of its own.
+        if not (line["last"]["at"] == 0 and rank is not None and line["last"]["value"] == last):
+            rank = rows + line["last"]["at"] + 1
+        rows, last = rows + line["n"], line["last"]["value"]
+        if line["s"] is not None:
+            total = (total or 0) + line["s"]
+    return offsets or {0: (0, None, None, None)}, rows, total
 
 
 def percent_rank():

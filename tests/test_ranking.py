@@ -3,8 +3,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from shelfsight.plans.ranking import percent_rank, with_descending_order
+from shelfsight.plans.ranking import RANGE, percent_rank, with_descending_order
 from shelfsight.workspace import written
 
 COLUMNS = ["id", "value", "rank", "running", "total", "row_total", "pr"]
@@ -73,7 +74,7 @@ def test_no_range_is_much_larger_than_the_others(spark, monkeypatch, values):
     try:
         rows = _frame(spark, values)
         out = with_descending_order(rows, "value", ["id"])
-        sizes = sorted(r["count"] for r in ranged[0].groupBy("range_id").count().collect())
+        sizes = sorted(r["count"] for r in ranged[0].groupBy(F.expr(RANGE)).count().collect())
         assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
         ranks = {r.id: (r.rank, r.running) for r in out.collect()}
     finally:
