@@ -26,7 +26,8 @@ from shelfsight.workspace import new_folder, written
 END = 2
 #: Tokens after which a shard is closed (at a document's end), which bounds what a task holds.
 SHARD_TOKENS = 1 << 22
-STORED_PIECES = 400_000
+#: Encoded pieces that a worker keeps, some 60 bytes each.
+STORED_PIECES = 1_000_000
 TEXT_SLICE = 1 << 21
 
 _SPACE = np.zeros(256, bool)
@@ -35,49 +36,107 @@ _GRAPH = np.zeros(256, bool)
 _GRAPH[0x21:0x7F] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
-_MARK = np.zeros(256, bool)
-_MARK[[ord(c) for c in ".,;:!?"]] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[0x30:0x3A] = True
+_BREAK = np.zeros(256, bool)
+_BREAK[0x09:0x0E] = True
+#: Not ' which may begin a contraction, and not | which stands inside an added token.
+_MARK = _GRAPH & ~_LETTER & ~_DIGIT
+_MARK[[ord("'"), ord("|")]] = False
 _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True  # two-byte characters, none of them white space
 
 
 def piece_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Starts of pieces: text starts, white space after a character known not to be white space, and marks after
-    an ASCII letter."""
+    """Starts of pieces: text starts, white space after a character known not to be white space, marks after an ASCII
+    letter, and ASCII letters after a single line break or tab."""
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         now, before = data[1:], data[:-1]
         solid = _GRAPH[before]
         solid[1:] |= (before[1:] >= 0x80) & (before[1:] < 0xC0) & _LEAD[data[:-2]]
         cut[1:-1] = (_SPACE[now] & solid) | (_MARK[now] & _LETTER[before])
+        cut[2:-1] |= _LETTER[now[1:]] & _BREAK[before[1:]] & solid[:-1]
     cut[at] = True
     return np.flatnonzero(cut[:-1])
 
 
+#: A number of its own kind: always cut from a piece before it that does not end in white space, and from one behind it
+#: that begins with white space or a visible ASCII character other than a digit.
+SEPARATOR = " \u2167"
+JOINED = 1024
+
+
 class PieceEncoder:
-    """Ids of texts by way of a bounded store of encoded pieces."""
+    """Ids of texts by way of a bounded store of encoded pieces.
+
+    The store is columns in order of the pieces' hashes, looked up for a whole slice at once; the bytes of a piece are
+    compared before its ids are used. When it is full, the pieces not used for longest go.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, stored: int = STORED_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.at, self.length, self.used = np.zeros(1 << 20, np.uint32), [], [], 0
-
-    def add(self, hashes: list[int], texts: list[str]) -> None:
-        for h, one in zip(hashes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            own = one.ids
-            while self.used + len(own) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(own)] = own
-            self.known[h] = len(self.at)
-            self.at.append(self.used)
-            self.length.append(len(own))
-            self.used += len(own)
+        self.tokenizer, self.stored, self.slices = Tokenizer.from_file(path), stored, 0
+        self.separator = np.array(self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids, np.uint32)
+        self.names, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.byte_at, self.size, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+
+    def ids_of(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of ``raw`` in a row, and the number of each. Pieces that a separator keeps apart are
+        encoded many in one text."""
+        data = np.frombuffer(raw, np.uint8)
+        first, last = data[starts], data[ends - 1]
+        solid = _GRAPH[last] | ((last >= 0x80) & (last < 0xC0) & _LEAD[data[np.maximum(ends - 2, starts)]])
+        apart = (_SPACE[first] | _GRAPH[first]) & ~_DIGIT[first] & solid
+        lists: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(starts)
+        together, alone = np.flatnonzero(apart), np.flatnonzero(~apart).tolist()
+        groups = [together[k : k + JOINED].tolist() for k in range(0, len(together), JOINED)]
+        a, b = starts.tolist(), ends.tolist()
+        mark = SEPARATOR.encode()
+        texts = [mark.join([raw[a[i] : b[i]] for i in group]).decode() for group in groups]
+        for group, one in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids, n = np.array(one.ids, np.uint32), len(self.separator)
+            hits = np.ones(max(len(ids) - n + 1, 0), bool)
+            for k in range(n):
+                hits &= ids[k : k + len(hits)] == self.separator[k]
+            cuts = np.flatnonzero(hits)
+            if len(cuts) != len(group) - 1:  # a piece holds the separator
+                alone += group
+                continue
+            for i, x, y in zip(group, [0, *(cuts + n).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                lists[i] = ids[x:y]
+        for i, one in zip(
+            alone, self.tokenizer.encode_batch_fast([raw[a[i] : b[i]].decode() for i in alone], add_special_tokens=False),
+            strict=True,
+        ):
+            lists[i] = np.array(one.ids, np.uint32)
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.concatenate([np.zeros(0, np.uint32), *lists]), lengths
+
+    def _shrink(self) -> None:
+        """Drops the pieces not used for longest, down to half of the store."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.stored // 2])
+        at, length, byte_at, size = self.at[keep], self.length[keep], self.byte_at[keep], self.size[keep]
+        self.ids, self.bytes = self.ids[ragged_ranges(at, length)], self.bytes[ragged_ranges(byte_at, size)]
+        self.names, self.used, self.length, self.size = self.names[keep], self.used[keep], length, size
+        self.at, self.byte_at = np.cumsum(length) - length, np.cumsum(size) - size
+
+    def _learn(self, names: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Adds pieces that are not in the store; ``names`` in order."""
+        ids, lengths = self.ids_of(raw, starts, ends)
+        sizes = ends - starts
+        place = np.searchsorted(self.names, names)
+        new = {
+            "names": names, "used": np.full(len(names), self.slices), "length": lengths, "size": sizes,
+            "at": len(self.ids) + np.cumsum(lengths) - lengths, "byte_at": len(self.bytes) + np.cumsum(sizes) - sizes,
+        }
+        for name, values in new.items():
+            setattr(self, name, np.insert(getattr(self, name), place, values))
+        self.ids = np.concatenate([self.ids, ids])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(raw, np.uint8)[ragged_ranges(starts, sizes)]])
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids with END after each text, and the number of ids of each."""
@@ -86,28 +145,47 @@ class PieceEncoder:
         ends = np.append(starts[1:], len(data))
         full = ends > starts
         starts, ends = starts[full], ends[full]
-        distinct, one, which = np.unique(
-            span_hashes(prefix_sums(data), starts, ends), return_index=True, return_inverse=True
-        )
-        if len(self.known) + len(distinct) > STORED_PIECES and self.known:
-            self.clear()
-        names = distinct.tolist()
-        new = [i for i, h in enumerate(names) if h not in self.known]
-        if new:
-            raw = data.tobytes()
-            a, b = starts[one[new]].tolist(), ends[one[new]].tolist()
-            self.add([names[i] for i in new], [raw[x:y].decode() for x, y in zip(a, b, strict=True)])
-        entry = np.fromiter((self.known[h] for h in names), np.int64, len(names))[which]
-        begin, length = np.array(self.at, np.int64), np.array(self.length, np.int64)
-        length = length[entry] if len(entry) else np.zeros(0, np.int64)
-        begin = begin[entry] if len(entry) else np.zeros(0, np.int64)
+        hashes = span_hashes(prefix_sums(data), starts, ends)
+        order = np.argsort(hashes)
+        sorted_ = hashes[order]
+        new = np.ones(len(order), bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        names, which = sorted_[new], np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        one = order[new]
+        raw, sizes = data.tobytes(), ends - starts
+        self.slices += 1
+        if len(self.names) > self.stored:
+            self._shrink()
+        place = np.searchsorted(self.names, names)
+        known = place < len(self.names)
+        known[known] = self.names[place[known]] == names[known]
+        if not known.all():
+            self._learn(names[~known], raw, starts[one[~known]], ends[one[~known]])
+            place = np.searchsorted(self.names, names)
+        self.used[place] = self.slices
+        entry = place[which]
+        # Equal hashes of different bytes: those pieces are encoded by themselves.
+        other = np.flatnonzero(self.size[entry] != sizes)
+        if not len(other):
+            unlike = self.bytes[ragged_ranges(self.byte_at[entry], sizes)] != data[ragged_ranges(starts, sizes)]
+            other = np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(unlike), "right"))
+        else:
+            other = np.flatnonzero(
+                [raw[x:y] != self.bytes[p : p + n].tobytes() for x, y, p, n in zip(starts, ends, self.byte_at[entry], self.size[entry])]
+            )
+        begin, length, ids = self.at[entry], self.length[entry], self.ids
+        if len(other):
+            own, lengths = self.ids_of(raw, starts[other], ends[other])
+            begin[other], length[other] = len(ids) + np.cumsum(lengths) - lengths, lengths
+            ids = np.concatenate([ids, own])
         piece_ends = np.concatenate([[0], np.cumsum(length)])
         text_first = np.searchsorted(starts, at)
         counts = np.diff(piece_ends[text_first])
         out = np.full(int(counts.sum()) + texts, END, np.uint32)
         filled = np.ones(len(out), bool)
         filled[np.cumsum(counts + 1) - 1] = False
-        out[filled] = self.ids[ragged_ranges(begin, length)]
+        out[filled] = ids[ragged_ranges(begin, length)]
         return out, counts + 1
 
 

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfsight.llm import queries
+from shelfsight.llm import queries, token_files
 from shelfsight.llm.components import connected
 from shelfsight.llm.decontamination import decontaminated
 from shelfsight.llm.licences import licence_scan
@@ -371,18 +371,32 @@ def test_wavelet_matrix():
             assert matrix.find(int(ids[i]), k) == i
 
 
-def test_token_files_give_the_tokenizers_ids(spark, docs):
+def test_token_files_give_the_tokenizers_ids(spark, docs, monkeypatch):
     tokenizers, vocabularies = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = vocabularies.path("byte_bpe_50k.json")
     encoder, exact = PieceEncoder(path), tokenizers.Tokenizer.from_file(path)
     parts = ["a", "'s", "'", "ll", " ", "  ", "\n", "\t", " ", "　", "é", "×", ".", ",", "1", "<|endoftext|>", "日", "\x1c", "😀"]
     texts = ["".join(RNG.choice(parts) for _ in range(RNG.randrange(25))) for _ in range(3000)]
-    from shelfsight.llm.bytewords import text_buffer
+    from shelfsight.llm.bytewords import span_hashes, text_buffer
 
     ids, counts = encoder.encode(*text_buffer(pa.array(texts)))
     expected = [exact.encode(t, add_special_tokens=False).ids + [2] for t in texts]
     assert ids.tolist() == sum(expected, []) and counts.tolist() == list(map(len, expected))
 
+    # A store that overflows at each slice, and hashes that clash, give the same ids.
+    words = ["".join(RNG.choice("abé-'.1<|>$\n ") for _ in range(RNG.randrange(9))) for _ in range(2000)]
+    texts = [" ".join(RNG.sample(words, 20)) for _ in range(400)] + [" \u2167", "a \u2167 b", "<|endoftext|>a|>b", "\tTab\r\nx"]
+    expected = [exact.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    clashing = PieceEncoder(path)
+    monkeypatch.setattr(token_files, "span_hashes", lambda prefix, a, b: (span_hashes(prefix, a, b) % np.uint64(50)))
+    got = [clashing.encode(*text_buffer(pa.array(texts[k : k + 50])))[0].tolist() for k in range(0, len(texts), 50)]
+    assert sum(got, []) == sum(expected, [])
+    monkeypatch.undo()
+    small = PieceEncoder(path, stored=100)
+    for _ in range(2):
+        got = [small.encode(*text_buffer(pa.array(texts[k : k + 50])))[0].tolist() for k in range(0, len(texts), 50)]
+        assert sum(got, []) == sum(expected, [])
+
     start, expected = 0, []
     for i, t in sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0)):
         own = exact.encode(t, add_special_tokens=False).ids + [2]
