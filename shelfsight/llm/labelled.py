@@ -17,7 +17,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int)
     """(doc_id, text, label) for at most ``bound`` labelled ids that are not held out, those of least hash.
 
     An id with several labels counts as 1 if their mean is at least a half; rows without id or label are left
-    out. Repeated documents of one id appear each, so the bound is on ids.
+    out. Of several documents of one id the one whose text has the least hash stands, so the bound is on rows too.
     """
     usable = labels.select(F.col("doc_id").cast("long"), F.col(column).alias("label")).where(
         "doc_id IS NOT NULL AND label IS NOT NULL"
@@ -25,4 +25,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int)
     one = usable.groupBy("doc_id").agg(F.when(F.avg("label") >= 0.5, 1).otherwise(0).alias("label"))
     few = one.orderBy(F.xxhash64("doc_id", F.lit(column)), "doc_id").limit(bound)
     given = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return given.join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")
+    one_text = F.min_by(F.struct("text", "label"), F.xxhash64("text"))
+    found = given.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(one_text.alias("of"))
+    return found.select("doc_id", "of.text", "of.label")

@@ -106,6 +106,43 @@ def document_frequencies(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int
     return out[:-1], int(out[-1])
 
 
+def sample_matrix(sample: DataFrame, idf: np.ndarray, settings: QualitySettings) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted vectors of ``sample`` (doc_id, text, label) and their labels, by doc_id. Texts are counted in tasks; of
+    each the driver gets at most ``buckets`` counts and the shapes, however long it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, "text"):
+            for a in range(0, part.num_rows, 256):
+                rows = part.slice(a, 256)
+                words, shapes = text_vectors(*text_buffer(rows.column(1)), settings.buckets)
+                who, bucket = np.nonzero(words)
+                at = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=rows.num_rows))]).astype(np.int32)
+                each = np.arange(rows.num_rows + 1, dtype=np.int32) * len(SHAPES)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.column(0), pa.ListArray.from_arrays(at, bucket.astype(np.int32)),
+                        pa.ListArray.from_arrays(at, words[who, bucket].astype(np.int64)),
+                        pa.ListArray.from_arrays(each, shapes.ravel()), rows.column(2),
+                    ],
+                    ["doc_id", "bucket", "n", "shapes", "label"],
+                )
+
+    schema = "doc_id long, bucket array<int>, n array<long>, shapes array<double>, label double"
+    given = sample.select("doc_id", "text", F.col("label").cast("double"))
+    got = given.mapInArrow(run, schema).toArrow().sort_by("doc_id").combine_chunks()
+    if not len(got):
+        return np.zeros((0, settings.buckets + len(SHAPES)), np.float32), np.zeros(0)
+    blocks = []
+    for a in range(0, len(got), 256):
+        rows = got.slice(a, 256)
+        words = np.zeros((len(rows), settings.buckets), np.int64)
+        sizes = rows["bucket"].combine_chunks().value_lengths().to_numpy()
+        buckets, counts, shapes = (rows[c].combine_chunks().flatten().to_numpy() for c in ("bucket", "n", "shapes"))
+        words[np.repeat(np.arange(len(rows)), sizes), buckets] = counts
+        blocks.append(weighted(words, shapes.reshape(len(rows), len(SHAPES)), idf, settings.shape_weight))
+    return np.concatenate(blocks), got["label"].to_numpy()
+
+
 def singular_vectors(matrix: np.ndarray, rank: int, seed: int = 5) -> np.ndarray:
     """Leading right singular vectors (columns) by randomised subspace iteration, of a fixed sign."""
     rank = min(rank, *matrix.shape)
@@ -141,18 +178,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: QualitySettings
     empty input gives empty output."""
     frequency, texts = document_frequencies(docs, settings.buckets)
     idf = np.log((texts + 1) / (frequency + 1))
-    sample = written(training_sample(docs, labels, "quality", settings.sample), "quality-sample").toArrow()
-    order = np.lexsort((sample.column("text").to_pandas(), sample.column("doc_id").to_numpy())) if len(sample) else []
-    sample = sample.take(pa.array(order, pa.int64())).combine_chunks()
-    label = sample.column("label").to_numpy().astype(float)
-    if len(sample):
-        parts = sliced(iter(sample.select(["text"]).to_batches()), "text")
-        matrix = np.concatenate(
-            [
-                weighted(*text_vectors(*text_buffer(p.column(0)), settings.buckets), idf, settings.shape_weight)
-                for p in parts
-            ]
-        )
+    sample = written(training_sample(docs, labels, "quality", settings.sample), "quality-sample")
+    matrix, label = sample_matrix(sample, idf, settings)
+    if len(label):
         projection = singular_vectors(matrix, settings.rank)
         neighbours = _unit(matrix @ projection)
     else:

@@ -173,16 +173,23 @@ def counterfactuals(texts: list[str], known: np.ndarray, bases: np.ndarray) -> C
 
 def fit(
     rows: list[tuple[str, int]], known: np.ndarray, bases: np.ndarray, settings: ToxicitySettings = ToxicitySettings()
+) -> ToxicityModel:
+    """The model of a few labelled texts that are at hand."""
+    texts = [t for t, _ in rows]
+    who, feature = present(*text_buffer(pa.array(texts, pa.large_string())), known, bases)
+    label = np.array([y for _, y in rows], float)
+    return fit_features(who, feature, label, counterfactuals(texts, known, bases), known, bases, settings)
+
+
+def fit_features(
+    who: np.ndarray, feature: np.ndarray, label: np.ndarray, pairs: Counter, known: np.ndarray, bases: np.ndarray,
+    settings: ToxicitySettings,
 ) -> ToxicityModel:
     """Minimises mean log loss + ridge + counterfactual penalty by Adam over the whole sample."""
     size = len(known)
-    label = np.array([y for _, y in rows], float)
-    if not len(rows) or label.min() == label.max():
+    if not len(label) or label.min() == label.max():
         rate = (label.sum() + 0.5) / (len(label) + 1)
         return ToxicityModel(known, bases, np.zeros(size), float(np.log(rate / (1 - rate))))
-    texts = [t for t, _ in rows]
-    who, feature = present(*text_buffer(pa.array(texts, pa.large_string())), known, bases)
-    pairs = counterfactuals(texts, known, bases)
     a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
     swapped = b >= 0
     share = np.array(list(pairs.values()), float) / max(sum(pairs.values()), 1)
@@ -191,8 +198,8 @@ def fit(
     x[-1] = np.log(rate / (1 - rate))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, settings.steps + 1):
-        z = np.bincount(who, x[feature], len(rows)) + x[-1]
-        residual = (1 / (1 + np.exp(-z)) - label) / len(rows)
+        z = np.bincount(who, x[feature], len(label)) + x[-1]
+        residual = (1 / (1 + np.exp(-z)) - label) / len(label)
         gradient = np.append(np.bincount(feature, residual[who], size), residual.sum())
         gradient[:-1] += 2 * settings.ridge * x[:-1]
         change = 2 * settings.counterfactual * share * (x[a] - np.where(swapped, x[b], 0))
@@ -207,28 +214,31 @@ def train(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = Toxic
     sample = written(training_sample(docs, labels, "toxic", settings.sample), "toxic-sample")
     known, bases = _chosen_words(sample, settings)
 
-    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Only known words reach the driver; sentence ends stay."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, "text"):
+            who, feature = present(*text_buffer(part.column(1)), known, bases)
+            order = np.lexsort((feature, who))
+            at = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=part.num_rows))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(at, feature[order].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, part.column(2)], ["doc_id", "features", "label"])
+
+    def swaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: Counter = Counter()
         for part in sliced(batches, "text"):
-            out = []
-            for t in range(part.num_rows):
-                data, at = text_buffer(part.column(0).slice(t, 1))
-                starts, ends, _ = word_bounds(data, at, ALNUM)
-                sums = prefix_sums(data, FOLDED)
-                useful = np.isin(span_hashes(sums, starts, ends), bases)
-                for n in PREFIXES:
-                    cut = np.minimum(starts + n, ends)
-                    useful |= (ends > cut) & np.isin(mix(span_hashes(sums, starts, cut)), bases)
-                marks = np.flatnonzero(np.isin(data, np.frombuffer(b".!?\n", np.uint8)))
-                keep = np.flatnonzero(useful)
-                items = [(int(s), bytes(data[s:e])) for s, e in zip(starts[keep], ends[keep], strict=True)]
-                items += [(int(m), b".") for m in marks] if len(items) else []
-                out.append(b" ".join(x for _, x in sorted(items)).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out), part.column(1)], ["text", "label"])
-
-    rows = sample.select("text", F.col("label").cast("long")).mapInArrow(reduced, "text string, label long").toArrow()
-    pairs = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
-    return fit(pairs, known, bases, settings)
+            for text in part.column(0).to_pylist():
+                out.update(counterfactuals([text], known, bases))
+        columns = [pa.array([p[k] for p in out], pa.int32()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(out.values()), pa.int64())], ["a", "b", "n"])
+
+    # At most len(known) features of a text, and as many swaps as there are pairs of terms, reach the driver.
+    given = sample.select("doc_id", "text", F.col("label").cast("double"))
+    rows = given.mapInArrow(found, "doc_id long, features array<int>, label double").toArrow().sort_by("doc_id")
+    pairs = sample.select("text").mapInArrow(swaps, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counted_pairs = Counter({(r.a, r.b): r.n for r in pairs.orderBy("a", "b").collect()})
+    lists = rows["features"].combine_chunks()
+    who = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
+    label = rows["label"].to_numpy()
+    return fit_features(who, lists.flatten().to_numpy(), label, counted_pairs, known, bases, settings)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> DataFrame:
