@@ -144,10 +144,65 @@ def test_best_fit_takes_the_tightest_bin_and_the_cheapest_plan():
     placed, used = best_fit([7, 6, 4, 3], sizes, 10)
     assert placed == [0, 1, 1, 0] and used == [10, 10]
     best = plan([7, 6, 4, 3, 2], sizes)
-    costs = [sum(sizes.cost(sizes.least(u)) for u in best_fit([7, 6, 4, 3, 2], sizes, o)[1]) for o in sizes.lengths]
+    costs = [sum(sizes.cost(sizes.least(u)) for u in best_fit([7, 6, 4, 3, 2], sizes, o)[1]) for o in (None, *sizes.lengths)]
     assert sum(map(sizes.cost, best[1])) == min(costs)
 
 
+def test_each_bin_opens_its_own_cheapest_length():
+    sizes = Sizes(lengths=(4, 10), fixed=1.0, quadratic=0.02)
+    placed, used = best_fit([7, 4, 4, 3], sizes)
+    assert used == [10, 4, 4] and placed == [0, 1, 2, 0]
+    mixed = sum(sizes.cost(sizes.least(u)) for u in used)
+    assert mixed < sum(sizes.cost(sizes.least(u)) for u in best_fit([7, 4, 4, 3], sizes, 10)[1])
+
+
+def least_cost(pieces, sizes):
+    """Over all ways to divide the pieces."""
+    def go(rest, bins):
+        if not rest:
+            return sum(sizes.cost(sizes.least(b)) for b in bins)
+        tries = [go(rest[1:], [*bins, rest[0]])]
+        tries += [
+            go(rest[1:], [*bins[:k], b + rest[0], *bins[k + 1:]])
+            for k, b in enumerate(bins) if b + rest[0] <= max(sizes.lengths)
+        ]
+        return min(tries)
+
+    return go(pieces, [])
+
+
+def test_plans_are_near_the_least_cost_of_all_divisions():
+    random, exact, total, least = RNG, 0, 0.0, 0.0
+    for _ in range(120):
+        sizes = Sizes(tuple(sorted(random.sample(range(3, 20), 3))), random.choice([0.5, 2.0]), random.choice([0.0, 0.02]))
+        pieces = sorted((random.randint(1, max(sizes.lengths)) for _ in range(random.randint(1, 7))), reverse=True)
+        placed, lengths = plan(pieces, sizes)
+        held = collections.Counter()
+        for b, n in zip(placed, pieces, strict=True):
+            held[b] += n
+        assert [sizes.least(held[b]) for b in range(len(lengths))] == lengths
+        cost, best = sum(map(sizes.cost, lengths)), least_cost(pieces, sizes)
+        assert best - 1e-9 <= cost <= 1.35 * best
+        exact, total, least = exact + (cost < best + 1e-9), total + cost, least + best
+    assert exact >= 84 and total <= 1.03 * least
+
+
+def test_packing_does_not_depend_on_partitions(spark, monkeypatch):
+    import shelfsight.llm.packing as m
+
+    monkeypatch.setattr(m, "COPIES", 3)
+    rows = [(7, "one two three")] * 20 + [(None, "four"), (8, None), (8, None)] + [(i, "w " * (i % 90)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = Sizes(lengths=(8, 32, 64))
+    first, second = (
+        collections.Counter(map(tuple, packed(x, sizes, shard_pieces=25).collect()))
+        for x in (df.repartition(7), df.orderBy("text").coalesce(1))
+    )
+    assert first == second and sum(first.values()) == len(rows) + sum(i % 90 > 64 for i in range(60))
+    by_length = packed(df.withColumn("n_tokens", F.lit(5)), sizes, 25, F.col("n_tokens")).collect()
+    assert len(by_length) == len(rows) and {r.n_words for r in by_length} == {5}
+
+
 # --- op3 ---------------------------------------------------------------------------------
 
 
