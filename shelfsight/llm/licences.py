@@ -3,7 +3,8 @@
 Paragraphs are runs of lines without a blank one, read through windows of up to ``lines`` lines, single lines among
 them, so that notices are found hard-wrapped as well as beside other text. Features are word bigrams and trigrams that occur in the templates; a multinomial logistic
 regression, fitted on shortened and embedded templates and on paragraphs of the corpus as the unknown class,
-weighs them. A paragraph without any such n-gram has the unknown class's features and is not looked at further,
+weighs them. Platt scaling on rows that the fit has not seen turns the odds of the likeliest family against all other
+classes into the probability that the notice is one of that family; below a limit it is unknown. A paragraph without any such n-gram has the unknown class's features and is not looked at further,
 so only few paragraphs are scored. The weights are a constant of bounded size, and all work is built-in
 expressions.
 """
@@ -13,10 +14,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfsight.workspace import written
+
 UNKNOWN = "unknown"
 
 #: Usual notices of each licence family.
@@ -57,6 +61,14 @@ OTHERS = (
     "The software is sold under many names.", "The terms of the contract were discussed in public.",
     "The Apache helicopter was shown to the public.", "This work is the result of many years.",
 )
+#: More of them, for calibration only.
+OTHERS_HELD_OUT = (
+    "All rights of way are reserved for walkers.", "She studied at MIT and holds a driving license.",
+    "The notice was distributed under the door.", "Version 2 of the apache server license key expired.",
+    "The foundation published a public statement.", "Every copy of this work was sold in the public square.",
+    "You may not use this entrance.", "The creative commons room is open to the international public.",
+    "The author dedicated this work to his mother.", "Redistribution of land was debated in source documents.",
+)
 #: Words that say nothing by themselves; n-grams of them alone are no features.
 COMMON = frozenset(
     "a all an and any are as at be by can do for from has have if in is it its may must no not of on one or so that the "
@@ -66,7 +78,7 @@ COMMON = frozenset(
 
 @dataclass(frozen=True)
 class LicenceSettings:
-    """``sample_docs`` documents of least hash give unknown paragraphs. A family counts from ``probability`` on and is
+    """``sample_docs`` documents of least hash give unknown paragraphs. A family counts from the calibrated ``probability`` on and is
     confirmed when a template of it shares ``share`` of the template's n-grams with the paragraph. Windows have up to
     ``lines`` lines."""
 
@@ -108,6 +120,17 @@ def _variants(text: str) -> list[str]:
             text + " see the file for details"]
 
 
+def _held_out_variants(text: str) -> list[str]:
+    """Other edits than those the model is fitted on: words left out or changed, other surroundings."""
+    words = text.split()
+    n = len(words)
+    return [
+        " ".join(words[:n // 3] + words[n // 3 + 1:]), " ".join(words[:2 * n // 3] + words[2 * n // 3 + 1:]),
+        " ".join([*words[:n // 2], "hereby", *words[n // 2:]]), "copyright by the authors 2020 " + text + " thank you",
+        " ".join(words[:max(3, 4 * n // 5)]), "note that " + text,
+    ]
+
+
 @dataclass(frozen=True)
 class LicenceModel:
     families: list[str]  # the first is UNKNOWN
@@ -116,6 +139,37 @@ class LicenceModel:
     bias: list[float]
     templates: list[list[str]]  # n-grams
     template_family: list[int]
+    scale: float  # calibrated log odds are scale * log odds + shift
+    shift: float
+    held_out: int  # rows of calibration, and the mean squared error of the probabilities there before and after
+    error_before: float
+    error_after: float
+
+
+def _calibrated(scored: DataFrame) -> tuple[float, float, int, float, float]:
+    """Platt scaling: logistic regression of ``hit`` on ``odds``, both classes of equal weight, with Platt's targets
+    that stay off 0 and 1. Also rows, and the weighted squared error before and after."""
+    both = scored.groupBy("hit").count().collect()
+    count = {r["hit"]: r["count"] for r in both}
+    yes, no = count.get(1, 0), count.get(0, 0)
+    if not yes or not no:
+        return 1.0, 0.0, yes + no, float("nan"), float("nan")
+    of_hit = F.when(F.col("hit") == 1, (yes + 1) / (yes + 2)).otherwise(1 / (no + 2))
+    weight = F.when(F.col("hit") == 1, 0.5 / yes).otherwise(0.5 / no)
+    rows = scored.select("odds", "hit", of_hit.alias("target"), weight.alias("weight"))
+    rows = VectorAssembler(inputCols=["odds"], outputCol="features").transform(rows)
+    soft = rows.select("features", F.lit(1.0).alias("label"), (F.col("target") * F.col("weight")).alias("w")).union(
+        rows.select("features", F.lit(0.0), (1 - F.col("target")) * F.col("weight"))
+    )
+    model = LogisticRegression(weightCol="w", maxIter=100, tol=1e-9, standardization=False).fit(soft)
+    scale, shift = float(model.coefficients[0]), float(model.intercept)
+
+    def error(a: float, b: float):
+        gap = 1 / (1 + F.exp(-(a * F.col("odds") + b))) - F.col("hit")
+        return F.sum(F.col("weight") * gap * gap)
+
+    before, after = rows.agg(error(1.0, 0.0), error(scale, shift)).first()
+    return scale, shift, yes + no, before, after
 
 
 def train(docs: DataFrame, settings: LicenceSettings = LicenceSettings()) -> LicenceModel:
@@ -136,16 +190,33 @@ def train(docs: DataFrame, settings: LicenceSettings = LicenceSettings()) -> Lic
     longer = _constant([g for g in vocabulary if g.count(" ") == 2])
     # Others without any feature say nothing about the weights; one empty row stands for them.
     near = f"arrays_overlap(grams, {_constant(vocabulary)}) AND NOT arrays_overlap(grams, {longer})"
-    unknown = lines.where(near).select(F.lit(0).alias("label"), "grams")
-    unknown = unknown.union(spark.sql("SELECT 0, CAST(array() AS ARRAY<STRING>)"))
+    # A quarter of the distinct lines is kept for calibration.
+    kept_out = "pmod(xxhash64(array_sort(array_distinct(grams))), 4) = 0"
+    strange = lines.where(near).select(F.lit(0).alias("label"), "grams", F.expr(kept_out).alias("out"))
+    strange = written(strange, "licence-unknown")
+    empty = spark.sql("SELECT 0, CAST(array() AS ARRAY<STRING>)")
+    unknown = strange.where("NOT out").drop("out").union(empty)
 
     counter = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
     data = counter.transform(rows.select("label", "grams").union(unknown))
     model = LogisticRegression(family="multinomial", regParam=0.0005, maxIter=60, standardization=False).fit(data)
+
+    later = [(families.index(f), v) for f, t in TEMPLATES for v in _held_out_variants(t)]
+    later += [(0, t) for t in OTHERS_HELD_OUT]
+    held = _with_grams(spark.createDataFrame(later, "label int, paragraph string")).select("label", "grams")
+    held = held.union(strange.where("out").select("label", "grams").distinct()).union(empty)
+    # Odds of the likeliest family against all other classes.
+    p = model.transform(counter.transform(held)).select("label", vector_to_array("probability").alias("p"))
+    p = p.withColumn("known", F.expr("slice(p, 2, size(p) - 1)")).withColumn("best", F.array_max("known"))
+    scored = p.select(
+        F.expr("ln(greatest(best, 1e-12D) / greatest(1 - best, 1e-12D))").alias("odds"),
+        F.expr("CAST(array_position(known, best) = label AS INT)").alias("hit"),
+    )
+    scored = written(scored, "licence-held-out")
     weights = model.coefficientMatrix.toArray().T.tolist()
     return LicenceModel(
         families, vocabulary, weights, model.interceptVector.toArray().tolist(), templates,
-        [families.index(f) for f, _ in TEMPLATES],
+        [families.index(f) for f, _ in TEMPLATES], *_calibrated(scored),
     )
 
 
@@ -247,12 +318,20 @@ def licence_scan(docs: DataFrame, settings: LicenceSettings = LicenceSettings())
         ).alias("scored"),
     )
     best = f"transform(sequence(0, {n - 1}), f -> coalesce(array_max(transform(filter(y.shares, s -> s.family = f), s -> s.share)), 0D))"
-    chosen = ranked.select(
+    likeliest = ranked.select(
+        "doc_id", "n_paragraphs", "n_scored",
+        F.expr(
+            f"transform(scored, y -> struct(y.stop AS stop, -y.line AS back, {best} AS shares, y.z AS z, "
+            f"CAST(array_position(slice(y.z, 2, {n - 1}), array_max(slice(y.z, 2, {n - 1}))) AS INT) AS family))"
+        ).alias("scored"),
+    )
+    # Against the sum of all other classes.
+    others = "aggregate(y.z, 0D, (s, v) -> s + exp((v - y.z[y.family]) / 1000D)) - 1D"
+    chosen = likeliest.select(
         "doc_id", "n_paragraphs", "n_scored",
         F.expr(
-            f"transform(scored, y -> struct(y.stop AS stop, -y.line AS back, {best} AS shares, "
-            "CAST(array_position(y.z, array_max(y.z)) - 1 AS INT) AS family, "
-            "CAST(round(1000 / aggregate(y.z, 0D, (s, v) -> s + exp((v - array_max(y.z)) / 1000D))) AS INT) AS p))"
+            "transform(scored, y -> struct(y.stop AS stop, y.back AS back, y.shares AS shares, y.family AS family, "
+            f"CAST(round(1000 / (1 + exp({model.scale!r}D * ln(greatest({others}, 1e-12D)) - ({model.shift!r}D)))) AS INT) AS p))"
         ).alias("scored"),
     )
     # By last line, then the shortest first.
@@ -276,14 +355,14 @@ def licence_scan(docs: DataFrame, settings: LicenceSettings = LicenceSettings())
         ),
     ).drop("good")
     kind = "STRUCT<last: ARRAY<INT>, out: ARRAY<STRUCT<line: INT, stop: INT, family: INT, p: INT>>>"
-    confirmed = own.select(
-        "doc_id", "n_paragraphs", "n_scored",
-        F.expr(
-            f"array_sort(aggregate(own, CAST(struct(array_repeat(-1, {n}) AS last, array() AS out) AS {kind}), "
-            "(s, x) -> IF(s.last[x.family] < x.line, struct(transform(s.last, (v, f) -> IF(f = x.family, x.stop, v)) AS last, "
-            "concat(s.out, array(x)) AS out), s), s -> s.out))"
-        ).alias("found"),
+    found = (
+        f"array_sort(aggregate(own, CAST(struct(array_repeat(-1, {n}) AS last, array() AS out) AS {kind}), "
+        "(s, x) -> IF(s.last[x.family] < x.line, struct(transform(s.last, (v, f) -> IF(f = x.family, x.stop, v)) AS last, "
+        "concat(s.out, array(x)) AS out), s), s -> s.out))"
     )
+    # A generator is a boundary: a filter on the result stays above it, where the expressions would otherwise be put in
+    # for every mention.
+    confirmed = own.select("doc_id", F.expr(f"inline(array(struct(n_paragraphs, n_scored, {found} AS found)))"))
     return confirmed.select(
         "doc_id", "n_paragraphs", "n_scored", F.expr("CAST(size(found) AS BIGINT)").alias("n_notices"),
         F.expr(f"array_join(array_sort(array_distinct(transform(found, y -> {names}[y.family]))), ',')").alias("families"),
