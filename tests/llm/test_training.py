@@ -71,3 +71,27 @@ def test_penalty_shrinks_the_change_of_every_swap(spark):
     free, held = spread(0.0), spread(50.0)
     assert max(free) > 0.05
     assert all(h <= f / 2 + 1e-6 for f, h in zip(free, held, strict=True))
+
+
+def test_licence_probabilities_are_calibrated_and_the_scan_composes(spark):
+    from shelfsight.llm.licences import OTHERS_HELD_OUT, TEMPLATES, licence_scan, train
+
+    rows = [(i, t) for i, t in enumerate(OTHERS_HELD_OUT)] + [(100 + i, t) for i, (_, t) in enumerate(TEMPLATES)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
+    model = train(docs)
+    assert model.held_out >= 6 * len(TEMPLATES) + len(OTHERS_HELD_OUT) and 0.1 < model.scale < 10
+    assert model.error_after < 0.1
+    found = licence_scan(docs).where("n_notices > 0 AND n_scored > 0").select("doc_id", "families").where("families != ''")
+    assert {r.doc_id: r.families for r in found.collect()} == {100 + i: f for i, (f, _) in enumerate(TEMPLATES)}
+
+
+def test_calibration_recovers_overconfident_odds(spark):
+    from shelfsight.llm.licences import _calibrated
+
+    rows = []
+    for odds in range(-6, 7):
+        hits = round(200 / (1 + math.exp(-0.5 * odds)))
+        rows += [(float(odds), int(k < hits)) for k in range(200)]
+    scale, shift, n, before, after = _calibrated(spark.createDataFrame(rows, "odds double, hit int"))
+    assert n == len(rows) and abs(scale - 0.5) < 0.02 and abs(shift) < 0.02 and after < before
+    assert _calibrated(spark.createDataFrame([(1.0, 1)] * 3, "odds double, hit int"))[:3] == (1.0, 0.0, 3)
