@@ -188,8 +188,35 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE links.n = r.n) AS n_links, comp
 FROM r JOIN components USING (n)
 """
 
+#: Every window of 200 bytes, as 400 digits.
+REPEATS = """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+windows AS (
+    SELECT r, i, sha256(substr(h, 2 * i + 1, 400)) AS k
+    FROM (SELECT r, h, unnest(generate_series(0, len(h) // 2 - 200)) AS i FROM docs WHERE len(h) >= 400)),
+starts AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM windows) WHERE n > 1),
+runs AS (
+    SELECT r, min(i) AS a, max(i) + 200 AS b
+    FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run
+          FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new
+                FROM starts))
+    GROUP BY r, run),
+kept AS (
+    SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed,
+           string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS b
+    FROM (SELECT r, a, b, h, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before
+          FROM runs JOIN docs USING (r))
+    GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
 
 ORACLES: dict[str, str] = {
+    "op1_induced_suffixes": REPEATS,
     "op6_prefix_join": LEAKS,
     "op8_divergence": _quality(),
     "op10_superminhash": NEAR_DUPLICATES,
