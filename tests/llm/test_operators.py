@@ -540,7 +540,7 @@ def test_empty_tables(spark, docs, labels):
 
 def test_every_number_has_a_query():
     numbers = [re.match(r"op(\d+)_", name) for name in queries.QUERIES]
-    assert sorted(int(m[1]) for m in numbers if m) == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert sorted(int(m[1]) for m in numbers if m) == list(range(1, 14)) and "pipeline" in queries.QUERIES
 
 
 @needs_tables
