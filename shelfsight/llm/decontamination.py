@@ -8,9 +8,9 @@ the position of the prefix word leave one place per proposal, and the window's w
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ class Windows:
     place: np.ndarray  # its place in the window
     length: np.ndarray
     words: np.ndarray  # window x WINDOW word hashes, 0 beyond the length
-    items: list[list[str]]  # identifiers, as text
+    number: np.ndarray
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -53,12 +53,20 @@ def _window_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(item)), words], ["item_id", "words"])
 
 
-def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(words, items): the distinct windows of ``items`` (item_id, text) as word hashes, with the items' ids."""
-    rows = items.select(F.col("item_id").cast("string"), F.col("text")).mapInArrow(
-        lambda batches: _window_rows(batches, size), "item_id string, words array<long>"
+def item_windows(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows of ``items`` (item_id, text) as (window, words), word hashes numbered as they are written,
+    and the items that hold them as (window, item)."""
+    rows = written(
+        items.select(F.col("item_id").cast("string"), F.col("text")).mapInArrow(
+            lambda batches: _window_rows(batches, size), "item_id string, words array<long>"
+        ).distinct(),
+        "item-windows",
     )
-    return rows.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    windows = written(
+        rows.select("words").distinct().select(F.monotonically_increasing_id().alias("window"), "words"), "windows"
+    )
+    holders = rows.where("item_id IS NOT NULL").join(windows, "words").select("window", F.col("item_id").alias("item"))
+    return windows, written(holders, "window-items")
 
 
 def word_counts(docs: DataFrame, vocabulary: DataFrame, block: int = 2_000_000) -> DataFrame:
@@ -93,25 +101,19 @@ def word_counts(docs: DataFrame, vocabulary: DataFrame, block: int = 2_000_000)
 def _block(windows: DataFrame, counts: DataFrame, blocks: int, b: int, size: int) -> Windows:
     own = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b)
     rarest = (
-        own.select("words", "items", F.posexplode("words").alias("place", "word"))
+        own.select("window", "words", F.posexplode("words").alias("place", "word"))
         .join(counts, "word")
-        .groupBy("words").agg(
-            F.min(F.struct("n", "word", "place")).alias("prefix"), F.first("items").alias("items")
-        )
-    ).toArrow()
-    prefix = rarest.column("prefix").combine_chunks()
+        .groupBy("window").agg(F.min(F.struct("n", "word", "place")).alias("prefix"), F.first("words").alias("words"))
+        .select("window", "prefix.word", "prefix.place", "words").orderBy("window")
+    ).toArrow().combine_chunks()
+    lists = rarest.column("words").combine_chunks()
+    length = lists.value_lengths().to_numpy().astype(np.int64)
     words = np.zeros((rarest.num_rows, size), np.uint64)
-    lists = rarest.column("words").to_pylist()
-    for i, own_words in enumerate(lists):
-        words[i, : len(own_words)] = np.array(own_words, np.int64).astype(np.uint64)
-    length = np.array([len(x) for x in lists], np.int64)
-    hashed = prefix.field("word").to_numpy().astype(np.uint64)
+    words[np.arange(size) < length[:, None]] = lists.flatten().to_numpy().astype(np.uint64)
+    hashed = rarest.column("word").to_numpy().astype(np.uint64)
     order = np.argsort(hashed, kind="stable")
-    items = rarest.column("items").to_pylist()
-    return Windows(
-        hashed[order], prefix.field("place").to_numpy()[order].astype(np.int64), length[order], words[order],
-        [items[i] for i in order],
-    )
+    place, number = (rarest.column(c).to_numpy().astype(np.int64)[order] for c in ("place", "window"))
+    return Windows(hashed[order], place, length[order], words[order], number)
 
 
 def _found(part_text: pa.Array, block: Windows, size: int):
@@ -144,106 +146,63 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, block:
     text count each; repeated rows of one item_id count as one item; an item without an id marks words but is
     not listed. Other columns are ignored. Without items, or without documents, nothing is hit.
 
-    The benchmark's windows are looked for ``block`` at a time, so what a task holds is bounded; beyond one block
-    the marks of all passes are put together per row by (doc_id, text_hash).
+    The benchmark's windows are looked for ``block`` at a time, so what a task and the driver hold is bounded. Each
+    pass writes its marks, which name windows by number; they are put together by (doc_id, text_hash), and the items
+    of a window are joined on after that.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    windows = written(item_windows(items, size), "windows")
-    total = windows.count()
+    windows, holders = item_windows(items, size)
     counts = written(word_counts(docs, windows.select(F.explode("words").alias("word"))), "word-counts")
-    blocks = max(1, -(-total // block))
-    if blocks == 1:
-        return _one_pass(docs, _block(windows, counts, 1, 0, size), size)
-    marks = None
-    for b in range(blocks):
-        own = written(_marks(docs, _block(windows, counts, blocks, b, size), size), "marks")
-        marks = own if marks is None else marks.union(own)
-    return _merged(docs, marks)
-
-
-def _summary(texts: int, text: np.ndarray, start: np.ndarray, length: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Words of each text inside any occurrence."""
-    base = np.concatenate([[0], np.cumsum(counts + 1)])
-    edge = np.zeros(int(base[-1]) + 1, np.int64)
-    np.add.at(edge, base[text] + start, 1)
-    np.add.at(edge, base[text] + start + length, -1)
-    inside = np.cumsum(edge) > 0
-    return np.array([np.count_nonzero(inside[base[t] : base[t + 1]]) for t in range(texts)], np.int64)
-
+    blocks = max(1, -(-windows.count() // block))
+    passes = [
+        written(_marked(docs, _block(windows, counts, blocks, b, size), size), "marks") for b in range(blocks)
+    ]
+    return _merged(passes, holders)
 
-def _digest(ids: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
-
-_RESULT = (
-    "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, text_hash long"
-)
-
-
-def _one_pass(docs: DataFrame, block: Windows, size: int) -> DataFrame:
+def _marked(docs: DataFrame, block: Windows, size: int) -> DataFrame:
+    """(doc_id, text_hash, n_words, marks) of each row, marks being one block's occurrences as (start, length, window)."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(block).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Windows(*sent.value)
         for part in sliced(batches, "text"):
             text, start, window, counts = _found(part.column(2), block, size)
-            hit = _summary(len(counts), text, start, block.length[window], counts)
-            ids: list[set[str]] = [set() for _ in counts]
-            for t, w in set(zip(text.tolist(), window.tolist(), strict=True)):
-                ids[t].update(x for x in block.items[w] if x is not None)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts), pa.array(hit), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([_digest(x) for x in ids]), pa.array(hit > 0), part.column(1)],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "text_hash"],
+            order = np.argsort(text, kind="stable")
+            ends = np.cumsum(np.bincount(text, minlength=len(counts)))
+            marks = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], ends]).astype(np.int32)),
+                pa.StructArray.from_arrays(
+                    [pa.array(start[order]), pa.array(block.length[window][order]), pa.array(block.number[window][order])],
+                    ["start", "length", "window"],
+                ),
             )
-
-    return docs.mapInArrow(run, _RESULT)
-
-
-def _marks(docs: DataFrame, block: Windows, size: int) -> DataFrame:
-    """(doc_id, text_hash, n_words, start, length, item) of one block's occurrences."""
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(block).values()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Windows(*sent.value)
-        for part in sliced(batches, "text"):
-            text, start, window, counts = _found(part.column(2), block, size)
-            rows = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(rows), part.column(1).take(rows), pa.array(start),
-                 pa.array(block.length[window]), pa.array([block.items[w] for w in window], pa.list_(pa.string()))],
-                ["doc_id", "text_hash", "start", "length", "items"],
+                [part.column(0), part.column(1), pa.array(counts), marks], ["doc_id", "text_hash", "n_words", "marks"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, start long, length long, items array<string>")
+    return docs.mapInArrow(
+        run, "doc_id long, text_hash long, n_words long, marks array<struct<start: long, length: long, window: long>>"
+    )
 
 
-def _merged(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Unions the marks of several passes per text: covered words by a running maximum of ends."""
+def _merged(passes: list[DataFrame], holders: DataFrame) -> DataFrame:
+    """The marks of all passes per text: covered words by a running maximum of ends, items by their windows."""
     key = ["doc_id", "text_hash"]
+    marks = reduce(DataFrame.union, (p.select(*key, F.explode("marks").alias("m")).select(*key, "m.*") for p in passes))
     before = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = marks.select(*key, "start", (F.col("start") + F.col("length")).alias("end")).distinct()
     reach = F.coalesce(F.max("end").over(before), F.lit(0))
     covered = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reach)))
     hits = covered.groupBy(*key).agg(F.sum("new").alias("n_hit"))
-    ids = marks.select(*key, F.explode("items").alias("item")).groupBy(*key).agg(
+    ids = marks.select(*key, "window").distinct().join(holders, "window").groupBy(*key).agg(
         F.sort_array(F.collect_set("item")).alias("ids")
     )
-    marked = _null_safe(hits, ids, key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, "text"):
-            counts = np.diff(word_hashes(*text_buffer(part.column(2)), ALNUM, fold=True)[3])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(counts)], ["doc_id", "text_hash", "n_words"]
-            )
-
-    counted = docs.mapInArrow(run, "doc_id long, text_hash long, n_words long")
-    out = _null_safe(counted, marked, key)
-    n_hit = F.coalesce("n_hit", F.lit(0))
+    out = _null_safe(passes[0].drop("marks"), _null_safe(hits, ids, key), key)
+    n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"), "text_hash",
     )
 
