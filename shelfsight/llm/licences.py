@@ -80,12 +80,12 @@ COMMON = frozenset(
 class LicenceSettings:
     """``sample_docs`` documents of least hash give unknown paragraphs. A family counts from the calibrated ``probability`` on and is
     confirmed when a template of it shares ``share`` of the template's n-grams with the paragraph. Windows have up to
-    ``lines`` lines."""
+    ``lines`` lines: as many as the longest template has words, so that no template is too long at one word a line."""
 
     sample_docs: int = 1000
     probability: float = 0.5
     share: float = 0.5
-    lines: int = 16
+    lines: int = max(len(text.split()) for _, text in TEMPLATES)
 
 
 def _words(text: str) -> str:
