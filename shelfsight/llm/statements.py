@@ -70,16 +70,16 @@ def _quality(limits: Limits = Limits()) -> str:
     SELECT lang, i, v / greatest(sum(v) OVER (PARTITION BY lang), 1) AS q
     FROM (SELECT lang, i, sum(CAST(round(1e6 * c / {total}) AS BIGINT)) AS v FROM {histogram}
           WHERE n_chars >= {limits.min_chars} AND n_words >= {limits.min_words}
-            AND lang IN (SELECT lang FROM listed) GROUP BY lang, i)"""
+            AND lang IS NOT NULL GROUP BY lang, i)"""
 
-    def distance(histogram: str, total: str, reference: str, on: str) -> str:
+    def distance(histogram: str, total: str, reference: str) -> str:
         return f"""
-    SELECT r, lang, against, round(sqrt(greatest(sum(
+    SELECT r, round(sqrt(greatest(sum(
                (if(x > 0, x * log2(x / ((x + y) / 2)), 0) + if(y > 0, y * log2(y / ((x + y) / 2)), 0)) / 2 ORDER BY i), 0)), 9)
                AS distance
-    FROM (SELECT h.r, h.lang, s.lang AS against, h.i, h.c / greatest({total}, 1) AS x, s.q AS y
-          FROM {histogram} h JOIN {reference} s ON {on})
-    GROUP BY r, lang, against"""
+    FROM (SELECT h.r, h.i, h.c / greatest({total}, 1) AS x, s.q AS y
+          FROM {histogram} h JOIN {reference} s ON h.i = s.i AND h.lang = s.lang)
+    GROUP BY r"""
 
     return f"""
 WITH docs AS (
@@ -121,18 +121,16 @@ common AS (
     UNION ALL SELECT r, lang, n_chars, n_words, 1000, n_words - sum(c) FROM frequent GROUP BY r, lang, n_chars, n_words),
 character_reference AS ({share("characters", "n_chars")}),
 word_reference AS ({share("common", "n_words")}),
-character_distances AS ({distance("characters", "n_chars", "character_reference", "h.i = s.i")}),
-word_distances AS ({distance("common", "n_words", "word_reference", "h.i = s.i AND h.lang = s.lang")}),
-by_character AS (
-    SELECT r, coalesce(max(distance) FILTER (lang = against), min(distance)) AS character_distance
-    FROM character_distances GROUP BY r),
+character_distances AS ({distance("characters", "n_chars", "character_reference")}),
+word_distances AS ({distance("common", "n_words", "word_reference")}),
 judged AS (
     SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-           coalesce(n_repeat_words, 0) AS n_repeat_words, n_chars, character_distance, distance AS word_distance,
+           coalesce(n_repeat_words, 0) AS n_repeat_words, n_chars, c.distance AS character_distance,
+           d.distance AS word_distance,
            n_words < {limits.min_words_kept}
                OR 100 * coalesce(n_repeat_words, 0) > {limits.max_repeat_percent} * n_words AS base_failed
-    FROM counted LEFT JOIN lines USING (r) LEFT JOIN repeated USING (r) LEFT JOIN by_character USING (r)
-    LEFT JOIN word_distances USING (r))
+    FROM counted LEFT JOIN lines USING (r) LEFT JOIN repeated USING (r)
+    LEFT JOIN character_distances c USING (r) LEFT JOIN word_distances d USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(
            (n_chars >= {limits.min_chars} AND character_distance > {limits.character})

@@ -219,7 +219,8 @@ def test_short_and_wrapped_notices_of_every_family(spark):
 
     rows, expected = [], {}
     for k, (family, text) in enumerate(TEMPLATES):
-        for form, lines in enumerate(([text], textwrap.wrap(text, 40), [" * " + x for x in textwrap.wrap(text, 34)])):
+        forms = [text], textwrap.wrap(text, 40), [" * " + x for x in textwrap.wrap(text, 34)], text.split()
+        for form, lines in enumerate(forms):
             doc_id = 10 * k + form
             rows.append((doc_id, "\n".join(["some words before", *lines, "and a line after it"])))
             expected[doc_id] = family
@@ -390,6 +391,27 @@ def test_quality_counts_as_by_brute_force(spark, docs):
         assert got.where("kept AND base_failed").isEmpty()
 
 
+def test_quality_sql_agrees_for_every_language(spark):
+    """Unlisted languages, null ones, one without a text long enough, and one that is mostly junk."""
+    rng = random.Random(18)
+    letters = {"ru": "абвгдежзиклмнопрст", "ko": "가나다라마바사아자차카타파하", "en": "etaoinshrdlu", "xx": "0123#$%&"}
+    rows = []
+    for lang, used in letters.items():
+        words = ["".join(rng.choices(used, k=rng.randint(2, 7))) for _ in range(150)]
+        rows += [(lang, " ".join(rng.choices(words, k=rng.randint(60, 300)))) for _ in range(12)]
+    rows += [("ru", rows[40][1]), ("en", rows[0][1]), (None, rows[1][1]), (None, rows[25][1]), (None, None), ("ko", None),
+             ("en", ""), ("short", "w " * 55), ("short", "Und der " * 3), ("de", "1 2 3 " * 40)]
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    theirs = con.execute(queries.ORACLES["op8_divergence"])
+    names = [c[0] for c in theirs.description]
+    got = quality_rules(docs).select(*names).collect()
+    same(got, theirs.fetchall())
+    assert {r.kept for r in got} == {True, False} and any(r.character_distance is None for r in got)
+
+
 def test_languages_beyond_the_word_lists_are_judged_by_their_own_reference(spark):
     rng = random.Random(8)
     letters = {"ru": "абвгдежзиклмнопрст", "ko": "가나다라마바사아자차카타파하", "en": "etaoinshrdlu"}
